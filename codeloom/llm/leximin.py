@@ -11,14 +11,14 @@ from codeloom.session import table
 #: The methods a chunk can be found by, and other names in use for them.
 METHODS = ("semantic", "lexical", "graph", "churn")
 ALIASES = {"dense": "semantic"}
+#: Percentile of a chunk that a method found with a null score.
+UNKNOWN = 0.5e-9
+#: Rows of a query above which it is split.
+HOT_ROWS = 1_000_000
 
 
-def method_scores(hits: DataFrame) -> DataFrame:
-    """One row per (query_id, chunk_id, method): (score, exact), from hits in any order.
-
-    Repeated rows collapse, other names of a method count as it, the larger score holds where a method
-    found a chunk twice. ``score`` is null only where every score was. Combines before its shuffle.
-    """
+def hit_rows(hits: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, method, s, e) of the hits, one row per method named; rows without query or chunk are ignored."""
     rows = hits.where(F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull()).select(
         "query_id", "chunk_id", F.explode("retrieval_methods").alias("method"), F.col("retrieval_score").cast("double").alias("s"), F.coalesce("exact_match", F.lit(False)).alias("e")
     )
@@ -26,26 +26,35 @@ def method_scores(hits: DataFrame) -> DataFrame:
     for other, name in ALIASES.items():
         rows = rows.withColumn("method", F.when(F.col("method") == other, F.lit(name)).otherwise(F.col("method")))
     # NaN says as little as null.
-    rows = rows.withColumn("s", F.when(~F.isnan("s"), F.col("s")))
-    return rows.groupBy("query_id", "chunk_id", "method").agg(F.max("s").alias("score"), F.max("e").alias("exact"))
+    return rows.withColumn("s", F.when(~F.isnan("s"), F.col("s")))
 
 
-def leximin_vectors(hits: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """(query_id, chunk_id, vector, exact): each chunk's percentiles over all methods, ascending.
+def method_scores(rows: DataFrame) -> DataFrame:
+    """One row per (query_id, chunk_id, method): (score, exact).
 
-    A score's percentile is the share of the query's scores by that method that are not above it,
-    in (0, 1]. A chunk found with a null score gets half of the least share a score could have,
-    since it was found; a method that did not find it counts 0.
-    Methods outside ``methods`` are ignored.
+    Repeated rows collapse; the larger score holds where a method found a chunk twice.
+    ``score`` is null only where every score was.
     """
-    scores = method_scores(hits).where(F.col("method").isin(*methods))
-    ranked = grouped_rank(scores.where(F.col("score").isNotNull()), ["query_id", "method"], "score")
-    # Ties share the best rank of their value, counted from above: the lowest rank plus the ties is what
-    # "not above" means, but any rule that keeps ties equal orders the same; the lowest needs no second pass.
+    return rows.groupBy("query_id", "chunk_id", "method").agg(F.max("s").alias("score"), F.max("e").alias("exact"))
+
+
+def _percentiles(scores: DataFrame, split: bool) -> DataFrame:
+    """(query_id, chunk_id, exact, p); ``split`` cuts a query's scores into value ranges instead of ranking them in one task."""
+    if split:
+        ranked = grouped_rank(scores.where(F.col("score").isNotNull()), ["query_id", "method"], "score")
+    else:
+        w = Window.partitionBy("query_id", "method")
+        known = scores.where(F.col("score").isNotNull())
+        ranked = known.withColumn("rank", F.rank().over(w.orderBy("score"))).withColumn("total", F.count(F.lit(1)).over(w))
     known = ranked.select("query_id", "chunk_id", "exact", (F.col("rank") / F.col("total")).alias("p"))
-    unknown = scores.where(F.col("score").isNull()).select("query_id", "chunk_id", "exact", F.lit(0.5e-9).alias("p"))
+    unknown = scores.where(F.col("score").isNull()).select("query_id", "chunk_id", "exact", F.lit(UNKNOWN).alias("p"))
+    return known.unionByName(unknown)
+
+
+def _vectors(rows: DataFrame, methods: tuple[str, ...], split: bool) -> DataFrame:
+    scores = method_scores(rows.where(F.col("method").isin(*methods)))
     return (
-        known.unionByName(unknown)
+        _percentiles(scores, split)
         .groupBy("query_id", "chunk_id")
         .agg(F.collect_list("p").alias("v"), F.max("exact").alias("exact"))
         .select(
@@ -57,7 +66,29 @@ def leximin_vectors(hits: DataFrame, methods: tuple[str, ...] = METHODS) -> Data
     )
 
 
-def leximin_rank(hits: DataFrame, top: int | None = None, methods: tuple[str, ...] = METHODS) -> DataFrame:
+def leximin_vectors(hits: DataFrame, methods: tuple[str, ...] = METHODS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(query_id, chunk_id, vector, exact): each chunk's percentiles over all methods, ascending.
+
+    A score's percentile is its rank among the query's scores by that method, ties sharing the lowest,
+    divided by their number, in (0, 1]. A chunk found with a null score gets less than any score,
+    since it was found; a method that did not find it counts 0.
+    Methods outside ``methods`` are ignored.
+
+    A query of up to ``hot_rows`` rows is ranked where its rows are gathered, in one shuffle for everything. Larger ones are
+    split by score ranges; both ways give the same vectors.
+    """
+    rows = hit_rows(hits)
+    hot = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("query_id")
+    # At most one query per ``hot_rows`` rows is hot.
+    n_hot = hot.count()
+    if not n_hot:
+        return _vectors(rows.repartition("query_id"), methods, False)
+    few = F.broadcast(hot) if n_hot <= 100_000 else hot
+    usual = _vectors(rows.join(few, "query_id", "left_anti").repartition("query_id"), methods, False)
+    return usual.unionByName(_vectors(rows.join(few, "query_id", "left_semi"), methods, True))
+
+
+def leximin_rank(hits: DataFrame, top: int | None = None, methods: tuple[str, ...] = METHODS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(query_id, chunk_id, vector, exact, rank): the ranking of each query's chunks.
 
     Vectors are compared from their smallest entry up, larger first, so that a chunk's weakest method
@@ -65,7 +96,7 @@ def leximin_rank(hits: DataFrame, top: int | None = None, methods: tuple[str, ..
     so the order is total. With ``top``, only that many chunks per query are kept, and Spark drops the others before
     the shuffle. Rows without a query or chunk are ignored; an empty table gives no rows.
     """
-    v = leximin_vectors(hits, methods)
+    v = leximin_vectors(hits, methods, hot_rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("vector"), F.desc("exact"), F.asc("chunk_id"))
     ranked = v.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= top) if top else ranked
