@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codeloom.llm import distinctive, generated, leximin, secrets, split
+from codeloom.llm import distinctive, generated, leximin, secrets, split, syntax
 
-_MODULES = (split, generated, secrets, leximin, distinctive)
+_MODULES = (split, syntax, generated, secrets, leximin, distinctive)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
