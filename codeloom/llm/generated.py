@@ -177,25 +177,29 @@ def copies(sources: DataFrame, kinds: DataFrame) -> DataFrame:
     compared in full.
     """
     lines = lambda rows: rows.select("file_id", _line_hashes("text").alias("lines")).where(F.size("lines") >= COPY_LINES)
-    vendored = kinds.where(F.col("kind") == "vendored").select("file_id").distinct()
+    vendored = _small(kinds.where(F.col("kind") == "vendored").select("file_id").distinct(), 80)
     known = lines(sources.join(vendored, "file_id", "left_semi"))
-    known = known.select(F.sort_array("lines").alias("lines")).distinct().withColumn("rep", F.xxhash64(F.to_json("lines")))
+    known = materialize(known.select(F.sort_array("lines").alias("lines")).distinct().withColumn("rep", F.xxhash64(F.to_json("lines"))), "vendored-lines")
     each = known.select("rep", F.size("lines").alias("n"), F.explode("lines").alias("h"))
     df = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy("rep").orderBy("df", "h")
     keep = F.col("n") - F.ceil(F.lit(COPY_SIMILARITY) * F.col("n")) + 1
     prefix = each.join(df, "h").withColumn("r", F.row_number().over(rare)).where(F.col("r") <= keep).select("rep", "h")
-    size = prefix.count() * 16
-    prefix = F.broadcast(prefix) if size <= BROADCAST_BYTES else prefix
-    others = sources.join(kinds.where(F.col("kind").isNotNull()).select("file_id").distinct(), "file_id", "left_anti")
-    pairs = lines(others).select("file_id", F.explode("lines").alias("h")).join(prefix, "h").select("file_id", "rep").distinct()
-    both = pairs.join(lines(others.join(pairs.select("file_id").distinct(), "file_id", "left_semi")).dropDuplicates(["file_id"]), "file_id").join(
-        known.select("rep", F.col("lines").alias("k")), "rep"
-    )
+    prefix = _small(materialize(prefix, "rare-lines"), 16)
+    hits = lines(sources).select("file_id", F.explode("lines").alias("h")).join(prefix, "h").select("file_id", "rep").distinct()
+    pairs = materialize(hits.join(kinds.select("file_id").distinct(), "file_id", "left_anti"), "copy-candidates")
+    wanted = _small(pairs.select("file_id").distinct(), 80)
+    texts = lines(sources.join(wanted, "file_id", "left_semi")).dropDuplicates(["file_id"])
+    both = pairs.join(texts, "file_id").join(known.select("rep", F.col("lines").alias("k")), "rep")
     shared = F.size(F.array_intersect("lines", "k"))
     return both.where(shared >= COPY_SIMILARITY * (F.size("lines") + F.size("k") - shared)).select("file_id").distinct()
 
 
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The table marked for broadcast if its counted size is within BROADCAST_BYTES, else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def machine_files(files: DataFrame) -> DataFrame:
     """(file_id, kind) of the source and JSON files that the repository's people did not write by hand, once each.
 
