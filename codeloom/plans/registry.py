@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import incremental
+from codeloom.plans import incremental, scanning
 
-_MODULES = (incremental,)
+_MODULES = (incremental, scanning)
 FLAGSHIP = "p6_found"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
