@@ -44,11 +44,11 @@ def extension(path: Column) -> Column:
 def language(path: Column) -> Column:
     """SRC7-8: docker and compose by name, others by extension; null if unknown."""
     name = F.lower(base_name(normal_path(path)))
-    docker = name.isin("dockerfile", "containerfile") | name.startswith("dockerfile.") | name.endswith(".dockerfile")
+    docker = name.isin("dockerfile", "containerfile") | name.startswith("dockerfile.") | name.startswith("containerfile.") | name.endswith(".dockerfile") | name.endswith(".containerfile")
     compose = name.rlike(r"^(?:docker-)?compose(?:\.[^.]+)*\.ya?ml$")
     ext = F.lower(extension(path))
     by_ext = F.coalesce(*[F.when(ext == e, F.lit(x)) for e, x in LANGUAGES.items()])
-    return F.when(docker, "dockerfile").when(compose, "compose").otherwise(by_ext)
+    return F.when(docker, "dockerfile").when(compose, "docker-compose").otherwise(by_ext)
 
 
 def in_ignored_dir(path: Column) -> Column:

@@ -53,7 +53,7 @@ def requirements(manifests: DataFrame) -> DataFrame:
     """DEP1: (path, name, version, ecosystem, ord) of requirements.txt files (path, content)."""
     lines = manifests.where(base_name(F.col("path")) == "requirements.txt").select("path", F.posexplode(F.split("content", "\r?\n")).alias("ord", "line"))
     t = F.regexp_replace(F.split("line", ";")[0], r"^\s+|\s+$", "")
-    pattern = r"^([A-Za-z0-9_.\-]+)\s*(?:(==|>=|<=|~=|!=|>|<)\s*([A-Za-z0-9_.\-*+!]+))?"
+    pattern = r"^\s*([A-Za-z0-9_.\-]+)\s*(==|>=|<=|~=|>|<)?\s*([A-Za-z0-9_.\-]*)"
     rows = lines.withColumn("t", t).where("t <> '' and not startswith(t, '#') and not startswith(t, '-')")
     name = F.regexp_extract("t", pattern, 1)
     return rows.where(name != "").select("path", name.alias("name"), F.nullif(F.regexp_extract("t", pattern, 3), F.lit("")).alias("version"), F.lit("PyPI").alias("ecosystem"), "ord")
@@ -73,7 +73,7 @@ PYPROJECT_KEYS = ("python", "name", "version", "description", "readme", "license
 def pyproject(manifests: DataFrame) -> DataFrame:
     """DEP3: every line ``key = "string"`` but for the ignored keys."""
     lines = manifests.where(base_name(F.col("path")) == "pyproject.toml").select("path", F.posexplode(F.split("content", "\r?\n")).alias("ord", "line"))
-    pattern = r"""^\s*([A-Za-z0-9_.\-]+)\s*=\s*["']([^"']*)["']"""
+    pattern = r"""^\s*([A-Za-z0-9_.\-]+)\s*=\s*["']([^"']+)["']"""
     name = F.regexp_extract("line", pattern, 1)
     rows = lines.where((name != "") & ~F.lower(name).isin(*PYPROJECT_KEYS))
     return rows.select("path", name.alias("name"), clean_pyproject_version(F.regexp_extract("line", pattern, 2)).alias("version"), F.lit("PyPI").alias("ecosystem"), "ord")
@@ -93,11 +93,11 @@ def with_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 
 # Points that a finding of each severity costs, and the weights of the scores.
 SEVERITY_POINTS = {"critical": 20.0, "high": 10.0, "medium": 4.0, "low": 1.0, "info": 0.25}
-SCORE_WEIGHTS = {"security": 0.25, "maintainability": 0.20, "architecture": 0.25, "dependencies": 0.15, "hotspots": 0.15}
+SCORE_WEIGHTS = {"security": 0.25, "maintainability": 0.20, "architecture": 0.25, "dependencies": 0.15, "change_risk": 0.15}
 
 
 def health(findings: DataFrame, keys: list[str], dead: F.Column | None = None, violations=0, cycles=0, coupled=0, vulnerable=0, hotspot_points: F.Column | None = None) -> DataFrame:
-    """SC1-SC3: (keys, security, maintainability, architecture, dependencies, hotspots, overall, grade) from findings (keys, severity, category) and counts."""
+    """SC1-SC3: (keys, security, maintainability, architecture, dependencies, change_risk, overall, grade) from findings (keys, severity, category) and counts."""
     points = F.coalesce(*[F.when(F.col("severity") == s, F.lit(p)) for s, p in SEVERITY_POINTS.items()], F.lit(1.0))
     of = lambda c: F.sum(F.when(F.col("category") == c, points).otherwise(0.0))
     agg = findings.groupBy(*keys).agg(of("security").alias("s"), of("quality").alias("q"))
@@ -106,10 +106,10 @@ def health(findings: DataFrame, keys: list[str], dead: F.Column | None = None, v
     scored = agg.select(
         *keys,
         bounded(100 - F.col("s")).alias("security"),
-        bounded(100 - F.col("q") - dead_points).alias("maintainability"),
+        bounded(bounded(100 - F.col("q")) - dead_points).alias("maintainability"),
         bounded(100 - 6 * lit(violations) - 15 * lit(cycles) - 3 * lit(coupled)).alias("architecture"),
         bounded(100 - F.least(F.lit(100.0), 12 * lit(vulnerable))).alias("dependencies"),
-        bounded(100 - lit(hotspot_points if hotspot_points is not None else 0)).alias("hotspots"),
+        bounded(100 - lit(hotspot_points if hotspot_points is not None else 0)).alias("change_risk"),
     )
     overall = bounded(sum((F.col(k) * w for k, w in SCORE_WEIGHTS.items()), F.lit(0.0)))
     out = scored.withColumn("overall", overall)

@@ -89,8 +89,8 @@ def confidence(results: DataFrame, groups: list[str]) -> DataFrame:
     agg = results.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_results"), F.size(F.array_distinct(F.flatten(F.collect_list("methods")))).alias("n_methods"), F.sum(F.coalesce(F.col("exact_match"), F.lit(False)).cast("long")).alias("n_exact"), F.max("score").alias("best")
     )
-    raw = F.least(F.lit(95.0), 20 + F.least(F.col("n_results"), F.lit(5)) * 6 + F.col("n_methods") * 10 + F.least(F.col("n_exact"), F.lit(2)) * 10 + F.col("best") * 10)
-    c = F.bround(raw)
+    raw = (30 + F.least(F.col("n_results"), F.lit(5)) * 7 + F.col("n_methods") * 8 + F.col("n_exact") * 6 + F.col("best") * 10)
+    c = F.least(F.lit(95.0), F.bround(raw))
     return agg.withColumn("confidence", c).withColumn("label", F.when(c >= 75, "high").when(c >= 50, "medium").otherwise("low"))
 
 

@@ -72,7 +72,9 @@ def incremental_merge(spark, d):
 def health_score(spark, d):
     """Per branch, from the rule scan and the churn of its files."""
     found = issues.findings(table(spark, d, "files")).select("branch_id", "severity", "category")
-    churned = history.churn(_log(spark, d), ["branch_id", "path"], "logged_at").where("churn >= 5").groupBy("branch_id").agg(F.least(F.lit(40), F.sum(F.col("churn") - 4)).cast("double").alias("points"))
+    churned = history.churn(_log(spark, d), ["branch_id", "path"], "logged_at")
+    # The score sees the most changed paths of each branch.
+    churned = history.history_of(churned, ["branch_id"], [F.desc("churn"), F.asc("path")], 20).where("churn >= 5").groupBy("branch_id").agg(F.least(F.lit(40), F.sum(F.col("churn") - 4)).cast("double").alias("points"))
     rows = found.join(churned, "branch_id", "left").withColumn("points", F.coalesce("points", F.lit(0.0)))
     return history.health(rows, ["branch_id", "points"], hotspot_points=F.col("points")).drop("points")
 
@@ -129,10 +131,10 @@ def _health_sql():
     pts = "case severity when 'critical' then 20.0 when 'high' then 10.0 when 'medium' then 4.0 when 'low' then 1.0 when 'info' then 0.25 else 1.0 end"
     b = lambda x: f"greatest(0.0, least(100.0, round_even(({x})::double, 0)))"
     return _FOUND + f""", l as (select distinct * from file_log), c as (select branch_id, path, count(*) as churn from l where logged_at >= (select max(logged_at) from l) - interval 90 day group by 1, 2),
-h as (select branch_id, least(40, sum(churn - 4))::double as points from c where churn >= 5 group by 1),
+h as (select branch_id, least(40, sum(churn - 4))::double as points from (select *, row_number() over (partition by branch_id order by churn desc, path) as r from c) where r <= 20 and churn >= 5 group by 1),
 a as (select branch_id, sum(case when category = 'security' then {pts} else 0 end)::double as s, sum(case when category = 'quality' then {pts} else 0 end)::double as q from found group by 1),
-z as (select a.branch_id, {b('100 - s')} as security, {b('100 - q')} as maintainability, 100.0::double as architecture, 100.0::double as dependencies, {b('100 - coalesce(points, 0)')} as hotspots from a left join h using (branch_id)),
-y as (select *, {b('0.0 + security * 0.25::double + maintainability * 0.2::double + architecture * 0.25::double + dependencies * 0.15::double + hotspots * 0.15::double')} as overall from z)
+z as (select a.branch_id, {b('100 - s')} as security, {b('100 - q')} as maintainability, 100.0::double as architecture, 100.0::double as dependencies, {b('100 - coalesce(points, 0)')} as change_risk from a left join h using (branch_id)),
+y as (select *, {b('0.0 + security * 0.25::double + maintainability * 0.2::double + architecture * 0.25::double + dependencies * 0.15::double + change_risk * 0.15::double')} as overall from z)
 select *, case when overall >= 90 then 'A' when overall >= 80 then 'B' when overall >= 70 then 'C' when overall >= 60 then 'D' else 'F' end as grade from y"""
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import incremental, projects, scanning, search
+from codeloom.plans import code, incremental, projects, scanning, search
 
-_MODULES = (incremental, scanning, search, projects)
+_MODULES = (incremental, scanning, search, projects, code)
 FLAGSHIP = "bm25_topk"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

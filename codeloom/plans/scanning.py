@@ -22,7 +22,7 @@ def _lang_sql(p):
     name = f"lower(regexp_extract({p}, '([^/]*)$', 1))"
     ext = f"lower(regexp_extract(regexp_extract({p}, '([^/]*)$', 1), '^.+(\\.[^.]*)$', 1))"
     cases = " ".join(f"when {ext} = '{e}' then '{x}'" for e, x in T.LANGUAGES.items())
-    return f"case when {name} in ('dockerfile', 'containerfile') or starts_with({name}, 'dockerfile.') or ends_with({name}, '.dockerfile') then 'dockerfile' when regexp_full_match({name}, '(?:docker-)?compose(?:\\.[^.]+)*\\.ya?ml') then 'compose' {cases} end"
+    return f"case when {name} in ('dockerfile', 'containerfile') or starts_with({name}, 'dockerfile.') or starts_with({name}, 'containerfile.') or ends_with({name}, '.dockerfile') or ends_with({name}, '.containerfile') then 'dockerfile' when regexp_full_match({name}, '(?:docker-)?compose(?:\\.[^.]+)*\\.ya?ml') then 'docker-compose' {cases} end"
 
 
 _IGNORED = ", ".join(f"'{x}'" for x in T.IGNORED_DIRS)

@@ -167,7 +167,7 @@ SQL = {
     "evidence": _FUSED + "select query_id, chunk_id, path || case when start_line is null then '' when end_line is null then ':' || start_line else ':' || start_line || '-' || end_line end as citation, round(score, 3) as relevance from t where position <= 5 and path <> ''",
     "confidence": _FUSED + """, m as (select query_id, count(distinct x)::int as nm from (select query_id, unnest(string_split(methods, ',')) as x from t where position <= 5) group by 1),
  a as (select query_id, count(*) as n_results, sum(exact_match::int)::bigint as n_exact, max(score) as best from t where position <= 5 group by 1),
- z as (select a.query_id, n_results, nm as n_methods, n_exact, round(best, 6) as best, round_even(least(95.0, 20 + least(n_results, 5) * 6 + nm * 10 + least(n_exact, 2) * 10 + best * 10), 0)::double as confidence from a join m using (query_id))
+ z as (select a.query_id, n_results, nm as n_methods, n_exact, round(best, 6) as best, least(95.0, round_even((30 + least(n_results, 5) * 7 + nm * 8 + n_exact * 6 + best * 10)::double, 0))::double as confidence from a join m using (query_id))
  select *, case when confidence >= 75 then 'high' when confidence >= 50 then 'medium' else 'low' end as label from z""",
     "graph_edges": f"with {_E} select * from e",
     "degree_coupling": f"with {_E}, x as (select src as node, 0 as i, 1 as o from e union all select dst, 1, 0 from e) select node, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out, (sum(i) + sum(o))::bigint as coupling from x group by 1 having sum(i) + sum(o) >= 3",
