@@ -91,9 +91,10 @@ def changed_records(current: DataFrame, saved: DataFrame, keys: list[str], value
     ``current`` whose key is not in ``saved``, whose value differs, or where either value is null
     are returned with all of ``current``'s columns and ``change`` = 'added' or 'changed'.
     Rows only in ``saved`` are not returned. A null key is a key of its own. Empty ``current``
-    gives no rows, empty ``saved`` returns all. Repeated identical rows of ``current`` come out once.
+    gives no rows, empty ``saved`` returns all. Repeated rows of ``current`` come out once;
+    a column ``change`` that it already has is replaced.
     """
-    current = current.distinct()
+    current = current.drop("change").dropDuplicates([*keys, value])
     side = lambda df, mark: df.select(
         key_hash(*[F.col(k) for k in keys]).alias("key_hash"),
         # A null value never equals anything, so it gets a digest of its own side.
