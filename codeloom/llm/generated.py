@@ -55,7 +55,7 @@ PAYLOAD_CHARS, PAYLOAD_CODE_SHARE, PAYLOAD_CODE = 1000, 0.02, 150
 #: Text is minified that has a line of this length, literals aside, and less white space than this share.
 MINIFIED_LINE, MINIFIED_SPACE, MINIFIED_CHARS = 200, 0.07, 400
 #: Text repeats itself that has this many lines in no more shapes than these.
-REPEATED_LINES, REPEATED_SHAPES = 20, 8
+REPEATED_LINES, REPEATED_SHAPES = 30, 8
 #: Similarity of lines from which a file is a copy, letters a line has to count, and lines a file needs.
 COPY_SIMILARITY, LINE_CHARS, COPY_LINES = 0.8, 12, 8
 #: Bytes up to which the lines of vendored files are sent to every executor.

@@ -25,7 +25,7 @@ KEYWORDS = {
     "javascript": _JS,
     "typescript": _JS | {"interface": "j", "implements": "x", "type": "w", "namespace": "w", "declare": "w", "module": "w", "keyof": "K", "readonly": "g", "infer": "K", "is": "K", "asserts": "K",
                          "public": "g", "private": "g", "protected": "g", "abstract": "g", "override": "g", "satisfies": "L"},
-    "java": {"class": "C", "interface": "C", "enum": "C", "record": "w", "package": "K", "import": "m", "if": "i", "else": "l", "for": "F", "while": "W", "do": "O", "switch": "S",
+    "java": {"class": "C", "interface": "C", "enum": "J", "record": "w", "yield": "e", "package": "K", "import": "m", "if": "i", "else": "l", "for": "F", "while": "W", "do": "O", "switch": "S",
              "case": "c", "default": "D", "return": "r", "throw": "t", "try": "T", "catch": "k", "finally": "y", "new": "N", "instanceof": "q", "break": "V", "continue": "V", "assert": "X",
              "extends": "x", "implements": "x", "throws": "x", "permits": "x", "synchronized": "g", "goto": "x", "const": "G"}
     | dict.fromkeys("public private protected static final abstract native transient volatile strictfp".split(), "g")
@@ -46,7 +46,8 @@ def _rules(*pairs: tuple[str, str]) -> list[tuple[re.Pattern, str]]:
     return [(re.compile(a), b) for a, b in pairs]
 
 
-_TY = r"[KP]*(?:[nsdozphaQ]|\+d)[aQ]*(?:[|&][KP]*[nsdozaQ][aQ]*)*"
+_T0 = r"(?:N?[ph]A)*[KP]*(?:[nsdozphaQ]|P|\+d)[aQ]*"
+_TY = rf"[|&]?{_T0}(?:[|&]{_T0})*"
 _REWRITE = {
     "javascript": _rules(
         (r"Z?f\*?n?[ph]B", "n"), (rf"(?<=[nsdphaQoz])[.U](?:{_NAME}|[pha])", ""), (r"(?<=[npas])[phas](?![A])", ""), (r"(?<=d)[p]", ""), (r"Cn?(?:xn)?[oz]", "n"), (r"m[p](?=.?)|m\.n", "n"),
@@ -90,16 +91,16 @@ FORMS = {
     "typescript": _JS_FORMS | {"o": rf"(?:{_OP})?,?|(?:[gK]*(?:{_NAME}|[sda])\??:{_TY}[;,]?|(?:{_NAME})?\??[ph](?::{_TY})?[;,]?|a:{_TY}[;,]?)+", "a": _JS_FORMS["a"] + rf"|(?:R?(?:n\??:)?{_TY})(?:,R?(?:n\??:)?{_TY})*,?|nq{_TY}",
                                "p": _JS_FORMS["p"] + rf"|{_TY}"},
     "java": {
-        "t": r"Kn;|mg?n(?:\.\*)?;|;|[gw]*@?[Cw]n[ph]?(?:xn(?:,n)*)*[oz];?",
-        "s": rf";|(?:l?ip|l|Fp|Wp|n:)*(?:B|;|{_V};|r(?:{_V})?;|t{_V};|Vn?;|Sp[ozB]|OB|gpB|X{_V}(?::{_V})?;|w{_V};)|Tp?B|kpB|yB|g*[nY]Q*n(?:Q*)(?:,n)*;|[gw]*[Cw]n[ph]?(?:xn(?:,n)*)*[oz];?|Wp;",
-        "C": r";|g?B|[gD]*(?:[nY]Q*)?n[ph]Q*(?:xn(?:,n)*)?(?:B|;|D[ns];)|g*[nY]Q*nQ*(?:,n)*;|[gw]*@?[Cw]n[ph]?(?:xn(?:,n)*)*[oz];?|n[ph]?[oz]?(?:,n[ph]?[oz]?)*,?;?",
+        "t": r"Kn;|mg?n(?:\.\*)?;|;|[gw]*@?[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?",
+        "s": rf";|(?:l?ip|l|Fp|Wp|n:)*(?:B|;|{_V};|r(?:{_V})?;|t{_V};|Vn?;|Sp[ozB]|OB|gpB|X{_V}(?::{_V})?;|[we]{_V};)|Tp?B|kpB|yB|g*[nY]Q*n(?:Q*)(?:,n)*;|[gw]*[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?|Wp;",
+        "C": r";|g?B|[gD]*(?:[nY]Q*)?n[ph]Q*(?:xn(?:,n)*)?(?:B|;|D[ns];)|g*[nY]Q*nQ*(?:,n)*;|[gw]*@?[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?|n[ph]?[oz]?(?:,n[ph]?[oz]?)*,?;?",
         "c": _V, "F": rf"(?:(?:g*[nY]Q*)?{_V}(?:,n)*)?;(?:{_V})?;(?:{_V})?|g*[nY]Q*n:{_V}", "k": r"g*n(?:\|n)*n", "T": rf"(?:g*nn|{_V})(?:;(?:g*nn|{_V}))*;?",
         "p": rf"{_V}|g*[nY]Q*R?nQ*(?:,g*[nY]Q*R?nQ*)*|[nY]Q*(?:&n)*|[oz]", "a": _V, "o": rf"(?:{_V}|[oz])(?:,(?:{_V}|[oz]))*,?",
     },
     "go": {
         "t": rf"Kn;?|m(?:[n.]?s|[ph]);?|fp?na?[ph](?:{_GO_TY}|p)?B?;?|v(?:n(?:,n)*(?:{_GO_TY})?(?:={_V})?|[ph]);?|w(?:na?=?{_GO_TY}|[ph]);?|;",
         "s": rf"(?:n:)*(?:{_V}(?:[=E~]{_V})?|{_V}I|{_V}R{_V}|v(?:n(?:,n)*(?:{_GO_TY})?(?:={_V})?|[ph])|w(?:na?=?{_GO_TY}|[ph])|i(?:(?:{_V}(?:[=E~]{_V})?|{_V}I)?;)?{_V}B(?:li(?:(?:{_V}(?:[=E~]{_V})?)?;)?{_V}B)*(?:lB)?"
-        rf"|F(?:{_V}|(?:{_V}(?:[=E~]{_V})?)?;(?:{_V})?;(?:{_V}(?:[=E]{_V}|I)?)?|(?:{_V}[=~])?e{_V})?B|S(?:(?:{_V}(?:[=~]{_V})?)?;)?(?:{_V}(?:[=~]{_V})?)?[oz]|g{_V}|r(?:{_V})?|Vn?|B)?;?",
+        rf"|F(?:{_V}|(?:{_V}(?:[=E~]{_V})?)?;(?:{_V})?;(?:{_V}(?:[=E]{_V}|I)?)?|(?:{_V}[=~])?e{_V})?B|S(?:(?:{_V}(?:[=~]{_V})?)?;)?(?:{_V}(?:[=~]{_V})?)?[ozB]|g{_V}|r(?:{_V})?|Vn?|B)?;?",
         "C": rf"(?:n(?:,n)*{_GO_TY}|\*?n(?:\.n)?a?)s?;?", "j": rf"(?:n[ph](?:{_GO_TY}|p)?|{_GO_TY}(?:[|b]{_GO_TY})*);?", "m": "[n.]?s;?", "v": rf"n(?:,n)*(?:{_GO_TY})?(?:={_V})?;?", "W": rf"na?=?{_GO_TY};?",
         "p": rf"{_V}L?,?|(?:nL?{_GO_TY}|L?{_GO_TY}|n)(?:,(?:nL?{_GO_TY}|L?{_GO_TY}|n))*,?|w|(?:{_GO_TY}),{_V},?",
         "a": rf"(?:{_V})?(?::(?:{_V})?){{0,2}}|L|{_GO_TY}(?:,{_GO_TY})*|n(?:,n)*{_GO_TY}(?:,n(?:,n)*{_GO_TY})*", "o": rf"(?:{_V}|[oz])(?:,(?:{_V}|[oz]))*,?",
@@ -130,6 +131,8 @@ def _forms() -> dict[tuple[str, str], re.Pattern]:
     for lang, by in FORMS.items():
         for ctx, rule in by.items():
             out[lang, ctx] = re.compile(rule)
+        if lang == "java":
+            out[lang, "J"] = out[lang, "C"]
         if "s" in by:
             label = {"java": r"|c[nsdpY](?:n|p)?(?:,[nsdpD])*[:A](?:B|[nsdp];)?|D[:A](?:B|[nsdp];)?", "go": rf"|c(?:[nsdp](?:[=~]n)?|{_GO_TY}(?:,{_GO_TY})*):|D:"}.get(lang, rf"|c{_OP}:|D:")
             out[lang, "w"] = re.compile(f"(?:{by['s']}){label}")
@@ -210,9 +213,9 @@ def holds(lang: str, ctx: str, kinds: str) -> bool:
                 break
         if ctx == "t":
             return bool(form.fullmatch(re.sub(r"(?<=n)\.n", "", t)))
-        if ctx in ("p", "k", "C", "F", "T") and form.fullmatch(re.sub(r"(?<=n)\.n", "", t)):
+        if ctx in ("p", "k", "C", "J", "F", "T") and form.fullmatch(re.sub(r"(?<=n)\.n", "", t)):
             return True
-        m = re.fullmatch(r"(g*[nY](?:\.n)*Q*n)(?:Q*)=(.+);", t) if ctx in ("C", "s", "w") else None
+        m = re.fullmatch(r"(g*[nY](?:\.n)*Q*n)(?:Q*)=(.+);", t) if ctx in ("C", "J", "s", "w") else None
         if m and re.fullmatch(r"[oz]|[nsdp]", rewrite(lang, m[2])):
             return True
         return bool(form.fullmatch(rewrite(lang, t)))
@@ -239,12 +242,14 @@ def permissible_pairs() -> list[tuple[str, str]]:
     out = []
     for lang in FORMS:
         letters = set("nsdphaQozBEb+!*<>&|,;:?.@AIRUM~=kq") | set(KEYWORDS[lang].values())
+        if lang == "go":
+            letters |= set("LT")
         if lang == "json":
             letters = set("nsdoazQ,:")
         hard = set("=Ebq~?,:;") if lang != "python" else set("=E~")
         for a in letters:
             for b in letters:
-                if a in hard and b in hard and (a, b) not in {(":", ":"), (",", ","), ("?", ":"), (":", ","), (",", ":"), (";", ";"), ("?", ","), (":", "="), ("?", "="), (":", ";"), (",", ";"), ("q", "="), ("~", ";")} and not (a == "q" and b == "q"):
+                if a in hard and b in hard and (a, b) not in {(":", ":"), (",", ","), ("?", ":"), (":", ","), (",", ":"), (";", ";"), ("?", ","), (":", "="), ("?", "="), (":", ";"), (",", ";"), ("q", "="), ("~", ";"), (",", "?"), (":", "?"), ("=", "?")} and not (a == "q" and b == "q"):
                     continue
                 if a in "sd" and b in "nd" and lang in ("javascript", "java", "json", "python"):
                     continue

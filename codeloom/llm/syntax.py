@@ -33,7 +33,7 @@ def _lexer(comment: str, string: str, number: str, ops: str) -> re.Pattern:
     return re.compile(rf"[ \t\r\f﻿]*(?:(?P<nl>\n)|(?P<c>{comment})|(?P<s>{string})|(?P<d>{number})|(?P<n>{_IDENT})|(?P<b>[(\[{{)\]}}])|(?P<o>{ops})|(?P<x>[^\s]))")
 
 
-_JS_REGEX = r"(?<=[=(,:\[!&|?{};\n>+])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|(?<=return) /(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+_JS_REGEX = r"(?:(?<=[=(,:\[!&|?{};\n>+])|(?<=[=(,:\[!&|?{};>+] ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|(?<=return) /(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
 _TEMPLATE = r"`(?:\\[\s\S]|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`"
 _LEXERS = {
     "javascript": _lexer(_COMMENT + r"|(?<![\s\S])#![^\n]*", f"{_DQ}|{_SQ}|{_TEMPLATE}|{_JS_REGEX}", _NUMBER, r"\.\.\.|=>|\?\.(?!\d)|\+\+|--|\*\*=|>>>=|<<=|>>=|\?\?=|&&=|\|\|=|===|!==|[-+*/%&|^]=|==|!=|<=|>=|&&|\|\||\?\?|\*\*|<<|[-+*/%&|^~!<>=?:;,.@#]"),
@@ -78,7 +78,10 @@ def _op(lang: str, t: str) -> str:
     return "E" if t[-1] == "=" and t not in ("==", "===", "!=", "!==", "<=", ">=") else "b"
 
 
-def _brace(lang: str, cur: str, ctx: str) -> str:
+_CONSTANT = re.compile(r"(?:n[ph]?[oz]?,)*n[ph]?[oz]?$")
+
+
+def _brace(lang: str, cur: str, ctx: str, constants: bool = False) -> str:
     """The context of a brace's content, from what stands before it."""
     last = cur[-1:]
     if lang == "json":
@@ -86,6 +89,10 @@ def _brace(lang: str, cur: str, ctx: str) -> str:
     if lang == "java":
         if re.search(r"S[ph]$", cur):
             return "w"
+        if re.match(r"(?:[gw@.n]|[ph])*Jn", cur) and "=" not in cur:
+            return "J"
+        if ctx == "J" and constants and _CONSTANT.match(cur):
+            return "C"
         if re.search(r"(?:^|[gwA@)phn;])*[Cw]n(?:<[^;{]*)?[ph]?(?:x.*)?$", cur) and "C" in cur or re.match(r"[gw]*wn[ph]", cur) or re.search(r"N[nY].*[ph]$", cur) and "=" not in cur[cur.rfind("N"):]:
             return "C"
         if last in "=aQ,(" or (ctx in "opa" and last in ("", ",")):
@@ -177,7 +184,7 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
         else:
             k = kind
         if asi and nl and f[4] and f[2] and f[2][-1] in _ASI_ENDS and k in "nsdNPmXfCiFWOSrtTvVZguLwKejJ@cD{" and k:
-            if f[1] == "C" or not re.search(r"(?:^|l)(?:ip|l)$|[FW]p$|^@.*$", f[2]):
+            if f[1] == "C" or not re.search(r"(?:^|l)(?:ip|l)$|(?<!B)[FW]p$|^@.*$", f[2]):
                 if not (k == "{" and (re.search(r"[ph]$|[A]$", f[2]) or re.match(r"[XwgDj]*[Cj]", f[2]))):
                     end(f)
         nl = False
@@ -195,7 +202,7 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
             continue
         if t in "([{":
             if t == "{":
-                ctx = _brace(lang, f[2], f[1])
+                ctx = _brace(lang, f[2], f[1], lang == "java" and f[1] == "J" and not any(r[0] == f[3] for r in out.rows))
             elif t == "(":
                 c = f[2]
                 ctx = "p"
@@ -212,7 +219,7 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
                     ctx = {"m": "m", "v": "v", "w": "W"}[c]
             else:
                 ctx = "a"
-            stack.append([t, ctx, "", out.new(), t == "{" and ctx in "swCj" or ctx in "mvW" and t == "("])
+            stack.append([t, ctx, "", out.new(), t == "{" and ctx in ("swCjJ" if lang == "java" else "swCj") or ctx in "mvW" and t == "("])
             continue
         if f[0] != _CLOSE[t] or len(stack) == 1:
             return None
@@ -231,7 +238,7 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
         elif t == "]":
             up[2] += "Q" if empty else "a"
         else:
-            letter = "B" if f[1] == "s" else ("z" if empty else "o")
+            letter = "B" if f[1] == "s" or (lang == "go" and f[1] == "w") else ("z" if empty else "o")
             up[2] += letter
             if up[4]:
                 c = up[2]
@@ -240,7 +247,9 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
                 elif f[1] == "s" and not re.search(r"[A]B$|f\*?[^;]{0,60}B$", c) or (f[1] == "s" and asi and re.match(r"[XDwZ]*f\*?[^=(]*B$", c)) or (f[1] == "s" and up[1] == "C"):
                     if not (c.endswith("OB") or (asi and "=" in c and up[1] != "C") or re.search(r"N[nY].*B$", c)):
                         end(up)
-                elif f[1] in "Cj" and not re.search(r"[=(,:?r]", c[:-1]) and not re.search(r"N", c):
+                elif lang == "java" and up[1] == "J" and _CONSTANT.match(c):
+                    pass
+                elif f[1] in "CjJ" and not re.search(r"[=(,:?r]", c[:-1]) and not re.search(r"N", c):
                     end(up)
                 elif f[1] == "w" and re.match(r"(?:n:)?S[ph]", c):
                     end(up)
@@ -314,7 +323,7 @@ def lex_python(text: str) -> list[tuple[int, int, str, str]] | None:
             k = keywords.get(t, "n")
             before = stack[-1][1] if stack else line
             if before.endswith("."):
-                k = "n" if k == "n" else "`"
+                k = "n" if k == "n" else k if k == "m" and before.startswith("u") else "`"
         elif kind == "o":
             k = _op("python", t)
         else:

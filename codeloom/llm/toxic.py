@@ -34,7 +34,7 @@ _LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏкмтвнпгАЕОРСУ
 _LEET = str.maketrans("$@013457!|", "saoieastil")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CODE = re.compile(r"\S*(?:[a-z][A-Z]\w|[\w)]/\w|\w_\w|\w\.\w{2,4}\b|::|\(\))\S*")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-*]{1,2}){2,}[^\W_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._\-*])(?:[^\W_]\1)+[^\W_](?![^\W_])")
 _MIXED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[$@0-9!|*])[\w$@!|*]+(?!\S)")
 _STRETCH = re.compile(r"(.)\1{2,}")
 
