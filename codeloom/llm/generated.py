@@ -53,9 +53,9 @@ _WORD = re.compile(r"\w+")
 #: A payload has at least this many characters, and fewer letters of code than these.
 PAYLOAD_CHARS, PAYLOAD_CODE_SHARE, PAYLOAD_CODE = 1000, 0.02, 150
 #: Text is minified that has a line of this length, literals aside, and less white space than this share.
-MINIFIED_LINE, MINIFIED_SPACE, MINIFIED_CHARS = 200, 0.07, 400
-#: Text repeats itself that has this many lines in no more shapes than these.
-REPEATED_LINES, REPEATED_SHAPES = 30, 8
+MINIFIED_LINE, MINIFIED_SPACE, MINIFIED_CHARS = 200, 0.08, 400
+#: Text repeats itself that has this many lines in no more shapes than these, and than this share of the lines.
+REPEATED_LINES, REPEATED_SHAPES, REPEATED_SHARE = 20, 8, 0.25
 #: Similarity of lines from which a file is a copy, letters a line has to count, and lines a file needs.
 COPY_SIMILARITY, LINE_CHARS, COPY_LINES = 0.8, 12, 8
 #: Bytes up to which the lines of vendored files are sent to every executor.
@@ -119,7 +119,7 @@ def content_kind(text: str, suffix: str) -> str | None:
             return "payload"
         lines = [x.strip() for x in bare.split("\n")]
         lines = [x for x in lines if len(x) > 1]
-        if len(lines) >= REPEATED_LINES and len({_shape(x) for x in lines}) <= REPEATED_SHAPES:
+        if len(lines) >= REPEATED_LINES and len({_shape(x) for x in lines}) <= min(REPEATED_SHAPES, REPEATED_SHARE * len(lines)):
             return "generated"
     elif re.match(r'\s*\{\s*"(?:lockfileVersion|_lock|lockfile)"', text) or (n >= PAYLOAD_CHARS and text.count('"integrity"') >= 3 and '"lockfileVersion"' in text):
         return "generated"
