@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import is_entrypoint
-from codeloom.operators import graph
+from codeloom.operators import graph, impact
 from codeloom.session import materialize, table
-from codeloom.sources import code
+from codeloom.sources import code, lexical
 
 
 def _symbols(spark, d):
@@ -50,6 +50,33 @@ def layer_violations(spark, d):
     return graph.layer_violations(import_edges(spark, d)).select("branch_id", "src", "dst", "kind")
 
 
+def code_items(spark, d):
+    """Functions, classes and imports of files in any known language, per branch."""
+    rows = lexical.items(table(spark, d, "files"))
+    return rows.groupBy("branch_id", "kind").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.length("code")).alias("n_chars"))
+
+
+def _calls(spark, d):
+    rows = _symbols(spark, d)
+    key = lambda c: F.concat("branch_id", F.lit(":"), c)
+    calls = materialize(code.call_edges(rows).select(key("src").alias("src"), key("dst").alias("dst")), "calls")
+    defs = code.definitions(rows).select(F.concat("branch_id", F.lit(":"), "path", F.lit("::"), "name").alias("node"), "line", "decorators")
+    return rows, calls, defs
+
+
+def call_impact(spark, d):
+    """What changing the most called symbol of all branches reaches."""
+    rows, calls, defs = _calls(spark, d)
+    top = calls.where("dst is not null").groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").limit(1).collect()
+    files = code.python_import_edges(rows, table(spark, d, "files")).select(F.concat("branch_id", F.lit(":"), "src").alias("src"), F.concat("branch_id", F.lit(":"), "dst").alias("dst"))
+    return impact.change_impact(calls, files, defs, top[0]["dst"] if top else "")["summary"]
+
+
+def symbol_relations(spark, d):
+    """What each Python symbol calls and is called by."""
+    return impact.relations(_calls(spark, d)[1])
+
+
 def docker_instructions(spark, d):
     return code.docker_rows(table(spark, d, "files"))
 
@@ -67,5 +94,5 @@ def compose_services(spark, d):
     return code.compose_rows(files)
 
 
-QUERIES = {f.__name__: f for f in (python_definitions, python_calls, dead_code, function_references, import_edges, js_import_edges, layer_violations, docker_instructions, docker_images, compose_services)}
+QUERIES = {f.__name__: f for f in (python_definitions, python_calls, dead_code, function_references, import_edges, js_import_edges, layer_violations, code_items, call_impact, symbol_relations, docker_instructions, docker_images, compose_services)}
 SQL: dict[str, str] = {}
