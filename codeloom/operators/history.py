@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from codeloom.functions.text import base_name, bounded, clean_npm_version, clean
 
 def churn(changes: DataFrame, keys: list[str], time: str, days: int = DEFAULT.churn_days) -> DataFrame:
     """AG7: (keys, churn): changes within ``days`` of the newest one."""
-    newest = changes.agg(F.max(time).alias("newest"))
-    recent = changes.join(F.broadcast(newest)).where(F.col(time) >= F.col("newest") - F.make_dt_interval(F.lit(days)))
+    newest = changes.agg(F.max(time).alias("newest")).first()["newest"]
+    # As a literal the bound reaches the reader, which skips older row groups.
+    recent = changes.where(F.col(time) >= F.lit(newest - timedelta(days=days)).cast(changes.schema[time].dataType)) if newest is not None else changes.limit(0)
     return recent.groupBy(*keys).agg(F.count(F.lit(1)).alias("churn"))
 
 

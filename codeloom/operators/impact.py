@@ -45,8 +45,8 @@ def change_impact(calls: DataFrame, file_edges: DataFrame, definitions: DataFram
     modules = graph.reach(file_edges, paths, depth)
     n = symbols.agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("depth") == 1).cast("long")).alias("direct"), F.sum((F.col("depth") > 1).cast("long")).alias("transitive"), F.sum(F.col("is_endpoint").cast("long")).alias("endpoints")
-    ).join(F.broadcast(modules.agg(F.count(F.lit(1)).alias("modules"))))
-    n = n.fillna(0)
+    )
+    n = n.withColumn("modules", F.lit(modules.count())).fillna(0)
     score, _ = graph.impact(F.col("direct"), F.col("transitive"), F.col("modules"), F.col("endpoints"))
     total = F.when((F.col("n") > 0) | (F.col("modules") > 0), score).otherwise(F.lit(0))
     risk = F.when(total >= 70, "high").when(total >= 35, "medium").otherwise("low")

@@ -41,3 +41,17 @@ def grouped_rank(df: DataFrame, keys: list[str], value: str, rank: str = "rank",
         .withColumn(rank, F.col("__r") + F.col("__below"))
         .drop("__b", "__r", "__below")
     )
+
+
+def lead_in_order(df: DataFrame, order: str, value: str, name: str, bucket: int = 100_000) -> DataFrame:
+    """Adds ``name``, the value of the next row in the order of a distinct integer column, null in the last row.
+
+    A window over everything would run in one task. Rows are led within ranges of ``bucket`` integers, and the last row of a range takes
+    the first value of the next one from a table with one row a range.
+    """
+    b = df.withColumn("__b", F.floor(F.col(order) / bucket))
+    w = Window.partitionBy("__b").orderBy(order)
+    firsts = b.groupBy("__b").agg(F.min_by(value, order).alias("__first"), F.min(order).alias("__o"))
+    following = firsts.select("__b", F.lead("__first").over(Window.orderBy("__b")).alias("__next"))
+    led = b.withColumn("__l", F.lead(F.struct(F.col(value).alias("v"))).over(w)).join(following, "__b", "left")
+    return led.withColumn(name, F.when(F.col("__l").isNotNull(), F.col("__l.v")).otherwise(F.col("__next"))).drop("__b", "__l", "__next")

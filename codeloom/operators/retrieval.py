@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,15 @@ def bm25(corpus: DataFrame, key: str, query: str, top: int | None = DEFAULT.cand
     tf = [F.size(F.filter("tokens", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = docs.select(key, "document", tokenize(F.col("document")).alias("tokens")).select(key, F.size("tokens").alias("len"), F.lower("document").contains(query.lower().strip()).alias("exact_match"), *tf)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    joined = counted.join(F.broadcast(stats))  # one row of totals
-    length = K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0)))
+    # One row of totals comes to the driver and goes back as literals, so that the documents are joined with nothing.
+    total = stats.first()
+    length = K1 * (1 - B + B * F.col("len") / F.lit(max(float(total["avg_len"] or 0), 1.0)))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + wanted.count(t) * idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length)
-    scored = joined.select(key, (score + F.when(F.col("exact_match"), PHRASE_BOOST).otherwise(0.0)).alias("score"), "exact_match").where(F.col("score") > 0)
+        df = total[f"df{i}"] or 0
+        idf = math.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
+        score = score + F.lit(wanted.count(t) * idf) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length)
+    scored = counted.select(key, (score + F.when(F.col("exact_match"), PHRASE_BOOST).otherwise(0.0)).alias("score"), "exact_match").where(F.col("score") > 0)
     if top is not None:
         scored = scored.orderBy(F.desc("score"), key).limit(top)
     return scored

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, retrieval
+from codeloom.operators import graph, ranked, retrieval
 from codeloom.session import table
 
 QUESTION = "merge the session shelf"
@@ -75,10 +75,7 @@ def ask_context(spark, d):
 
 def _edges(spark, d):
     """Purchases of users in turn as edges, within eight classes of users."""
-    from pyspark.sql import Window
-
-    # The order over all events is the data's definition of the edges: a window without keys, on two integers a row.
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.lead("user_id").over(Window.orderBy("event_id")).alias("dst"))
+    e = ranked.lead_in_order(table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id", "user_id", "dst")
     return e.where("event_type = 'purchase' and dst is not null and user_id <> dst and user_id % 8 = dst % 8").select(F.col("user_id").alias("src"), "dst").distinct()
 
 
