@@ -13,6 +13,8 @@ from codeloom.session import materialize, table
 
 #: Items that one task packs together.
 SHARD_ITEMS = 20_000
+#: Kinds of containers there may be; more are an error.
+KINDS = 1000
 
 
 class _Stock:
@@ -105,9 +107,15 @@ def pack(items: DataFrame, containers: DataFrame, shard_items: int = SHARD_ITEMS
     packed by one task, which wastes at most about one bin a shard; so no group grows with the data. Repeated (doc_id) must be dropped before.
     """
     items = items.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens")
-    kinds = containers.where(F.col("capacity_tokens") > 0).select("container", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    rows = containers.where(F.col("capacity_tokens") > 0).select("container", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().limit(KINDS + 1).collect()
+    if len(rows) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of containers")
+    kinds = F.array(*[F.struct(F.lit(r["container"]).alias("container"), F.lit(r["capacity"]).alias("capacity")) for r in rows])
+    if not rows:
+        return items.sparkSession.createDataFrame([], PACKED)
     pieces = (
-        items.crossJoin(F.broadcast(kinds))  # one row per item and kind: that is the result's own size
+        items.select("doc_id", "n_tokens", F.explode(kinds).alias("kind"))
+        .select("kind.*", "doc_id", "n_tokens")
         .select("container", "capacity", "doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / F.col("capacity")))).alias("piece", "k"))
         .select(
             "container",

@@ -435,7 +435,8 @@ def unparsable_files(files: DataFrame) -> DataFrame:
     pairs = shapes.where(F.length("kinds") >= 2).select("lang", "ctx", "kinds", F.explode(F.array_distinct(F.transform(positions, lambda i: F.substring(F.col("kinds"), i, F.lit(2))))).alias("pair"))
     permitted = spark.createDataFrame(grammar.permissible_pairs(), "lang string, pair string")
     impossible = pairs.join(F.broadcast(permitted), ["lang", "pair"], "left_anti").select("lang", "ctx", "kinds").distinct()
-    wrong = shapes.mapInPandas(_production_batches, "lang string, ctx string, kinds string")
+    # The strings are few bytes but costly each, so they are spread by number, not by size.
+    wrong = shapes.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_production_batches, "lang string, ctx string, kinds string")
     bad = impossible.unionByName(wrong).distinct()
     by_shape = rows.join(bad, ["lang", "ctx", "kinds"], "left_semi").select("file_id", "lang")
     nesting = rows.where(F.col("ctx") == "!").select("file_id", "lang")
