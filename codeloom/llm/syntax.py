@@ -55,6 +55,9 @@ _ASI_BEGINS = set("nsdNPmXfCiFWOSrtTvVZguLwKejJ@!Icl D".replace(" ", ""))
 _GO_ENDS = set("ndsphaQozBIVr")
 
 
+_ALIKE = re.compile(r"((?:[sdnoapQz]|\+d|[snd]:[sdnoapQz]),)\1{2,}")
+
+
 class _Rows:
     """Collects the rows of one file; a frame is a bracket's content or a block's statements."""
 
@@ -66,6 +69,9 @@ class _Rows:
         return self.frames - 1
 
     def add(self, frame: int, ctx: str, kinds: str) -> None:
+        if len(kinds) > 64:
+            # Long lists of like elements are cut to two, which changes neither the pairs nor the productions.
+            kinds = _ALIKE.sub(r"\1\1", kinds)
         self.rows.append((frame, len(self.rows), ctx, kinds))
 
 
@@ -431,8 +437,7 @@ def unparsable_files(files: DataFrame) -> DataFrame:
     rows = materialize(sources.mapInPandas(_lex_batches, ROW_SCHEMA), "syntax-rows")
     shapes = rows.where(F.col("ctx") != "!").select("lang", "ctx", "kinds").distinct()
     # Adjacent pairs, each once per string.
-    positions = F.sequence(F.lit(1), F.length("kinds") - 1)
-    pairs = shapes.where(F.length("kinds") >= 2).select("lang", "ctx", "kinds", F.explode(F.array_distinct(F.transform(positions, lambda i: F.substring(F.col("kinds"), i, F.lit(2))))).alias("pair"))
+    pairs = shapes.where(F.length("kinds") >= 2).select("lang", "ctx", "kinds", F.explode(F.array_distinct(F.regexp_extract_all("kinds", F.lit("(?=(..))."), F.lit(1)))).alias("pair"))
     permitted = spark.createDataFrame(grammar.permissible_pairs(), "lang string, pair string")
     impossible = pairs.join(F.broadcast(permitted), ["lang", "pair"], "left_anti").select("lang", "ctx", "kinds").distinct()
     # The strings are few bytes but costly each, so they are spread by number, not by size.
