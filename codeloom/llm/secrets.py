@@ -80,13 +80,14 @@ DESCRIBING = set(
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _OPAQUE = re.compile(r"^[a-z]{1,2}\d{1,2}$", re.I)
 
+# The rules are linear in a line's length: a name is read once, from the first letter of its run, and by its last 200 characters if longer.
 _ASSIGN = re.compile(
-    r"""(?P<name>[A-Za-z_][\w.\-]*)["'\]]{0,2}\s*(?::\s*[A-Za-z_][\w<>\[\]. ]{0,30}?\s*(?==))?(?::=|=>|==?|:)\s*(?:\(\s*)?(?:[bfrBFR]{1,2}(?=["']))?(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P<end>(?P=q))?"""
+    r"""(?<![A-Za-z_])(?P<name>[A-Za-z_][\w.\-]{0,200}+)["'\]]{0,2}\s*(?::\s*[A-Za-z_][\w<>\[\]. ]{0,30}?\s*(?==))?(?::=|=>|==?|:)\s*(?:\(\s*)?(?:[bfrBFR]{1,2}(?=["']))?(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P<end>(?P=q))?"""
 )
 _BARE = re.compile(r"""^[\s\-#/*;]*(?:export\s+|ENV\s+|ARG\s+|set\s+|-\s+)*(?P<name>[A-Za-z_][\w.\-]*)\s*(?:=|:\s)\s*(?P<v>[^\s"'`#({\[|>][^\s"'`]*)\s*(?:#.*)?$""")
-_OPTION = re.compile(r"""(?P<name>--?[A-Za-z][\w\-]*)(?:\s+|=)(?P<q>["']?)(?P<v>[^\s"']{4,})(?P=q)""")
+_OPTION = re.compile(r"""(?P<name>--?[A-Za-z][\w\-]{0,200}+)(?:\s+|=)(?P<q>["']?)(?P<v>[^\s"']{4,})(?P=q)""")
 _SCHEME = re.compile(r"""\b(?P<name>Bearer|Basic|Token|Digest)\s+(?P<v>[A-Za-z0-9+/=_.\-~]{8,})""", re.I)
-_CALL = re.compile(r"""\b(?:[A-Za-z_][\w.]*\.)?(?:login|log_in|signin|sign_in|connect|auth|authenticate|dial|basic_auth|setcredentials)\s*\((?P<args>[^()\n]*)\)""", re.I)
+_CALL = re.compile(r"""\b(?:login|log_in|signin|sign_in|connect|auth|authenticate|dial|basic_auth|setcredentials)\s*\((?P<args>[^()\n]*)\)""", re.I)
 _USER_OPTION = re.compile(r"""(?:^|\s)(?:-u|--user|--proxy-user)(?:\s+|=)["']?[^\s:"'`$<{]+:(?P<v>[^\s"'`]{4,})""")
 _LITERAL = re.compile(r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)""")
 _URL = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@"'`<>{}$]*:(?P<v>[^\s@/"'`]{3,}(?:/[^\s@/"'`]+)?)@[\w.\[]""")
@@ -97,7 +98,11 @@ _SPOKEN = re.compile(
 _USED = re.compile(r"""\buse[ds]?\s+["'`]?(?P<v>[^\s"'`]{16,})""", re.I)
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\\r|\\n|[\s\"'+,>#/*|])*(?P<v>[A-Za-z0-9+/=]{16,})")
-_NEXT_PIECE = re.compile(r"""\s*\\?\s*(?:\+|\.|&|\|\|)?\s*\\?\s*\n?\s*(?:\+|\.)?\s*(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)""")
+#: What stands between the lines of a key's body, and a line of it: a header or letters in base 64.
+_KEY_GAP = re.compile(r"(?:\\[rnt\\\n]|[\s\"'`,>#*|.&()]|\+(?=[\s\"'`\\])|//(?=\s))*+")
+_KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)(?::[^\n\\\"']*)")
+_KEY_LINE = re.compile(r"[A-Za-z0-9+/=]++")
+_NEXT_PIECE = re.compile(r"""\s*+\\?+\s*+(?:\+|\.|&|\|\|)?+\s*+\\?+\s*+(?:\+|\.)?+\s*+(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)""")
 
 
 @lru_cache(maxsize=2)
@@ -159,12 +164,13 @@ def is_placeholder(v: str) -> bool:
 def judge(value: str, strength: int, words: dict[str, float], whole: bool = True) -> bool:
     """Whether a literal is a secret; strength is that of its context."""
     v = value.strip()
-    if is_placeholder(v) or re.search(r"\[[^\]]*-[^\]]*\]", v):
+    known = bool(TOKEN_FORMATS.search(v) or (not whole and TOKEN_START.match(v)))
+    if not known and (not strength or re.search(r"\s", v) or HASH_FORMATS.match(v) or "://" in v):
         return False
-    if TOKEN_FORMATS.search(v) or (not whole and TOKEN_START.match(v)):
-        return True
-    if not strength or re.search(r"\s", v) or HASH_FORMATS.match(v) or "://" in v:
+    if is_placeholder(v) or re.search(r"\[[^\[\]\-]*-[^\]]*\]", v[: v.rfind("]") + 1]):
         return False
+    if known:
+        return True
     if _HEX.match(v):
         return True
     if len(v) < 6:
@@ -196,15 +202,40 @@ class _Automaton:
 
 def _joined(text: str, value: str, at: int) -> tuple[str, list[tuple[int, int]]]:
     """A literal with the pieces that are added to it, and the spans of those pieces; ``at`` is after its closing quote."""
-    spans = []
-    while len(spans) < 8 and (m := _NEXT_PIECE.match(text, at)) and re.search(r"[+.&|\n\\]|^\s*$", text[at : m.start("q")]):
+    spans, parts = [], [value]
+    while (m := _NEXT_PIECE.match(text, at)) and re.search(r"[+.&|\n\\]|^\s*$", text[at : m.start("q")]):
         # Juxtaposed literals join only across a line end or an operator.
         if not re.search(r"[+\n.&|]", text[at : m.start("q")]):
             break
-        value += m["v"]
+        parts.append(m["v"])
         spans.append(m.span("v"))
         at = m.end()
-    return value, spans
+    return "".join(parts), spans
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where the body of a private key ends whose header ends at ``at``: before its END line, or after its last line if it is cut off.
+
+    Lines are followed one by one, however many. Bodies written in other ways count up to an END within 20,000 characters, if no other key begins before.
+    """
+    last, pos = 0, at
+    while True:
+        pos = _KEY_GAP.match(text, pos).end()
+        if text.startswith("-----END", pos):
+            return pos
+        if m := _KEY_HEADER.match(text, pos):
+            pos = m.end()
+            continue
+        m = _KEY_LINE.match(text, pos)
+        n = m.end() - pos if m else 0
+        # Shorter ones are the last line, or where the key was cut off; an identifier is no line.
+        if not (n >= 40 or n >= 16 and re.search(r"[0-9+/]", m[0]) or last and n and (m.end() == len(text) or text.startswith("-----END", _KEY_GAP.match(text, m.end()).end()) or m[0][0] == "=" and n == 5)):
+            break
+        last = pos = m.end()
+    stop = text.find("-----END", at, at + 20_000)
+    if stop >= 0 and text.find("-----BEGIN", at, stop) < 0:
+        return stop
+    return max(last, _KEY_BODY.match(text, at).end("v"))
 
 
 def scan(text: str, words: dict[str, float], snippet: bool = False) -> list[tuple[int, int, str]]:
@@ -232,18 +263,10 @@ def scan(text: str, words: dict[str, float], snippet: bool = False) -> list[tupl
     for k in lines:
         a = ends[k - 1] + 1 if k else 0
         z = ends[k] if k < len(ends) else len(text)
-        if z - a > 20_000 and not snippet:
-            # A very long line is judged by formats alone, so that its cost stays linear.
-            for m in TOKEN_FORMATS.finditer(text, a, z):
-                if not is_placeholder(m[0]):
-                    add(*m.span(), "token")
-            continue
         line = text[a:z]
         for m in _PRIVATE_KEY.finditer(line):
-            body = _KEY_BODY.match(text, a + m.end())
-            if body:
-                stop = text.find("-----END", a + m.end(), a + m.end() + 20_000)
-                add(a + m.start(), stop if stop > 0 else body.end("v"), "private_key")
+            if _KEY_BODY.match(text, a + m.end()):
+                add(a + m.start(), _key_end(text, a + m.end()), "private_key")
         for m in _URL.finditer(line):
             if not is_placeholder(m["v"]):
                 add(a + m.start("v"), a + m.end("v"), "url_password")

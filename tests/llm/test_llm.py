@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +166,39 @@ def test_redaction_keeps_code_and_json_intact():
     assert json.loads(red)["n"] == 1 and "KiVq" not in red
 
 
+def test_secrets_in_long_lines():
+    words = secrets.dictionary()
+    fill = '"note": "plain words of a file", ' * 1000
+    key = "\\n".join("MIIEow9" + "IBAAKCAQEA7x" * 4 for _ in range(500))
+    doc = "{" + fill + '"password": "gT7#qLw9zR", "url": "https://ann:qV8xkW2p@host.example/x", "h": "Bearer qX7vT2mK9wLs4RzB", ' + fill + f'"k": "-----BEGIN PRIVATE KEY-----\\n{key}\\n-----END PRIVATE KEY-----", "end": 1}}'
+    spans = secrets.scan(doc, words)
+    assert [k for _, _, k in spans] == ["assignment", "url_password", "authorization", "private_key"]
+    red = secrets.redact(doc, spans)
+    assert json.loads(red)["password"] == "REDACTED" and "MIIE" not in red and "qV8x" not in red and "qX7v" not in red and red.endswith('"end": 1}')
+
+
+def test_secrets_of_many_pieces():
+    words = secrets.dictionary()
+    body = "\n".join("MIIEow9" + "IBAAKCAQEA7x" * 4 for _ in range(500))
+    for tail in ("", "\nMIIEo", "\n-----END RSA PRIVATE KEY-----\nplain = 1\n", "\n\ndef restoreEverythingAgain():\n    pass\n"):
+        text = f"-----BEGIN RSA PRIVATE KEY-----\n{body}{tail}"
+        red = secrets.redact(text, secrets.scan(text, words))
+        assert "MIIE" not in red and red.endswith(tail.replace("MIIEo", "REDACTED"))
+    code = "token = " + " + \\\n  ".join(f'"qX7v{i:02}Lz"' for i in range(30)) + "\n"
+    assert "qX7v" not in secrets.redact(code, secrets.scan(code, words))
+
+
+def test_secrets_cost_is_linear():
+    words = secrets.dictionary()
+    for part in ("eyJa_b-9", "a.b.", "-a", "key  ", "'k' ", "\"[-", "x0:/", "key='"):
+        took = []
+        for n in (100_000, 400_000):
+            began = time.process_time()
+            secrets.scan(f"secret {part * (n // len(part))}", words)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * max(took[0], 0.25), (part, took)
+
+
 def test_secret_odd_rows(spark):
     rows = [("f1", "b", "a", (None, None, None, "x\npwd = 'Summer!2019'\n")), ("f1", "b", "a", (None, None, None, "x\npwd = 'Summer!2019'\n")), ("f2", "b", None, (None, None, None, "")), ("f3", "b", "c", None)]
     got = secrets.file_secrets(spark.createDataFrame(rows, FILES)).distinct().collect()
