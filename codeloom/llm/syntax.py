@@ -403,6 +403,8 @@ def claimed_sources(files: DataFrame) -> DataFrame:
 def _sequence_errors(rows: DataFrame) -> DataFrame:
     """(file_id, lang) of files where a statement does not follow, or is not followed by, what it needs."""
     statements = rows.where(F.col("ctx").isin("s", "w") & F.col("lang").isin("python", "javascript", "typescript", "java")).select("file_id", "lang", "frame", "no", F.substring("kinds", 1, 3).alias("k"), F.expr("right(kinds, 1)").alias("z"))
+    # A row delivered twice would be its own neighbour. Spread as the window needs it, so that the rows move once.
+    statements = statements.repartition("file_id", "frame").dropDuplicates(["file_id", "frame", "no"])
     w = Window.partitionBy("file_id", "frame").orderBy("no")
     s = statements.withColumn("p", F.coalesce(F.lag("k").over(w), F.lit(""))).withColumn("q", F.coalesce(F.lead("k").over(w), F.lit("")))
     one = lambda c: F.substring(c, 1, 1)

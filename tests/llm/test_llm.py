@@ -115,6 +115,13 @@ def test_syntax_odd_rows(spark):
     assert syntax.unparsable_files(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_valid_files_delivered_twice(spark):
+    js = "try { f(); } catch (e) { g(); } finally { h(); }\nx = 1;\n"
+    java = "class A { void f() { try { g(); } catch (E e) { h(); } finally { k(); } if (x) { g(); } else { h(); } } }\n"
+    once = [("a.js", js), ("a.ts", js), ("A.java", java)]
+    assert syntax.unparsable_files(files_of(spark, once).unionByName(files_of(spark, once))).collect() == []
+
+
 def test_long_source_takes_linear_time():
     rows = syntax.lex("javascript", "x = [" + "1, 2," * 50_000 + "3];")
     assert all(grammar.holds("javascript", c, k) for _, _, c, k in rows)
