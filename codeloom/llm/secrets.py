@@ -27,13 +27,6 @@ from codeloom.session import table
 #: Where the vocabulary of the word tokenizer lies; its whole words are the dictionary.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
-# Words and prefixes near which credentials stand.
-HINTS = (
-    "pass pwd secret token key auth cred kennwort clave contrase conn login bearer dsn hdr salt signin :// "
-    "-----begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ glpat- xoxb- xoxp- xoxa- xoxr- xoxs- sk_live_ sk_test_ rk_live_ rk_test_ aiza eyj "
-    "curl --user rotat licen github_pat_ npm_ pypi- sg. ya29. x0 x1 x2 x3 _pw admin_pw adminpw"
-).split()
-
 # Formats that are credentials wherever they stand.
 TOKEN_FORMATS = re.compile(
     r"(?<![A-Za-z0-9_/+\-])(?:"
@@ -77,8 +70,21 @@ DESCRIBING = set(
     "digest etag checksum integrity commit trace nonce version build banner type title message url uri endpoint host env var header count size index column schema "
     "public pub".split()
 )
+#: Last parts of a name that say nothing: what it holds must look random.
+NEUTRAL = set("license licence code seed signature".split())
+CALLS = "login log_in signin sign_in connect auth authenticate dial basic_auth setcredentials".split()
+# Words and prefixes near which credentials stand: those of the rules below, and the fixed values that formats begin with.
+HINTS = sorted(
+    STRONG
+    | NEUTRAL
+    | set(CALLS)
+    | {"key", "contrase", "log in", "log-in", "basic ", "://", "curl", "rotat", "-u ", "-u=", "-u\t", "--user", "--proxy-user", "-----begin"}
+    | set("akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxb- xoxp- xoxa- xoxr- xoxs- sk_live_ sk_test_ rk_live_ rk_test_ aiza eyj npm_ ya29.".split())
+)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _OPAQUE = re.compile(r"^[a-z]{1,2}\d{1,2}$", re.I)
+#: Where a value is assigned to such a name.
+_OPAQUE_SET = re.compile(r"""(?<![A-Za-z0-9_])[A-Za-z]{1,2}\d{1,2}["'\]]{0,2}\s*[:=]""")
 
 # The rules are linear in a line's length: a name is read once, from the first letter of its run, and by its last 200 characters if longer.
 _ASSIGN = re.compile(
@@ -86,8 +92,8 @@ _ASSIGN = re.compile(
 )
 _BARE = re.compile(r"""^[\s\-#/*;]*(?:export\s+|ENV\s+|ARG\s+|set\s+|-\s+)*(?P<name>[A-Za-z_][\w.\-]*)\s*(?:=|:\s)\s*(?P<v>[^\s"'`#({\[|>][^\s"'`]*)\s*(?:#.*)?$""")
 _OPTION = re.compile(r"""(?P<name>--?[A-Za-z][\w\-]{0,200}+)(?:\s+|=)(?P<q>["']?)(?P<v>[^\s"']{4,})(?P=q)""")
-_SCHEME = re.compile(r"""\b(?P<name>Bearer|Basic|Token|Digest)\s+(?P<v>[A-Za-z0-9+/=_.\-~]{8,})""", re.I)
-_CALL = re.compile(r"""\b(?:login|log_in|signin|sign_in|connect|auth|authenticate|dial|basic_auth|setcredentials)\s*\((?P<args>[^()\n]*)\)""", re.I)
+_SCHEME = re.compile(r"""\b(?P<name>Bearer|Basic|Token|Digest)\s+(?P<v>(?!--)[A-Za-z0-9+/=_.\-~]{8,})""", re.I)
+_CALL = re.compile(rf"""\b(?:{'|'.join(CALLS)})\s*\((?P<args>[^()\n]*)\)""", re.I)
 _USER_OPTION = re.compile(r"""(?:^|\s)(?:-u|--user|--proxy-user)(?:\s+|=)["']?[^\s:"'`$<{]+:(?P<v>[^\s"'`]{4,})""")
 _LITERAL = re.compile(r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)""")
 _URL = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@"'`<>{}$]*:(?P<v>[^\s@/"'`]{3,}(?:/[^\s@/"'`]+)?)@[\w.\[]""")
@@ -152,7 +158,7 @@ def name_strength(name: str) -> int:
         return 0
     if any(p in STRONG for p in parts) or parts[-1] in ("key", "keys"):
         return 2
-    if parts[-1] in ("license", "licence", "code", "seed", "signature"):
+    if parts[-1] in NEUTRAL:
         return 1
     return 1 if _OPAQUE.match(name.split(".")[-1]) else 0
 
@@ -247,7 +253,8 @@ def scan(text: str, words: dict[str, float], snippet: bool = False) -> list[tupl
     if len(lower) != len(text):  # a letter whose lower case is longer would shift positions
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     ends = [m.start() for m in re.finditer("\n", text)]
-    lines = sorted({bisect_right(ends, e - 1) for e, _ in _Automaton.get().iter(lower)})
+    hits = {bisect_right(ends, e - 1) for e, _ in _Automaton.get().iter(lower)}
+    lines = sorted(hits | {bisect_right(ends, m.start()) for m in _OPAQUE_SET.finditer(text)})
     # bisect_right over line ends gives the line's index; a hit's end never lies on a newline.
     found: dict[int, tuple[int, int, str]] = {}
     taken: list[tuple[int, int]] = []
@@ -282,16 +289,21 @@ def scan(text: str, words: dict[str, float], snippet: bool = False) -> list[tupl
                 ok = judge(v, 2, words)
             if ok:
                 add(a + m.start("v"), a + m.end("v"), "authorization")
-        for m in _ASSIGN.finditer(line):
+        # A value may stand on a later line than its name; a text in three quotes there is a docstring.
+        for m in _ASSIGN.finditer(text, a):
+            if m.start() >= z:
+                break
+            if m.start("q") >= z and len(m["q"]) == 3:
+                continue
             value, more, whole = m["v"], [], m["end"] is not None
-            if whole and not snippet or whole and re.search(r"\S", line[m.end() :]):
-                value, more = _joined(text, m["v"], a + m.end())
+            if whole and not snippet or whole and re.search(r"\S", text[m.end() : z]):
+                value, more = _joined(text, m["v"], m.end())
             strength = name_strength(m["name"])
             if _PRIVATE_KEY.search(value):
                 continue
             if judge(value, strength, words, whole and not (snippet and line.rstrip().endswith(("+", "(", "\\")))):
                 if more or TOKEN_FORMATS.fullmatch(value) or strength or not whole or TOKEN_START.match(value):
-                    add(a + m.start("v"), a + m.end("v"), "assignment", more)
+                    add(*m.span("v"), "assignment", more)
         m = _BARE.match(line)
         if m and judge(m["v"].rstrip(",;"), name_strength(m["name"]), words):
             add(a + m.start("v"), a + m.start("v") + len(m["v"].rstrip(",;")), "assignment")

@@ -184,6 +184,16 @@ def test_secrets_in_long_lines():
     assert json.loads(red)["password"] == "REDACTED" and "MIIE" not in red and "qV8x" not in red and "qX7v" not in red and red.endswith('"end": 1}')
 
 
+def test_secrets_of_every_name_the_rules_know():
+    words = secrets.dictionary()
+    for line in ('pw = "S3cr3t!xQ"', 'dbPw: "S3cr3t!xQ"', 'seed = "qXv7TzKw9LmRb2Nc"', 'k7 = "qXv7TzKw9LmRb2Nc"', 'session.z12 = "qXv7TzKw9LmRb2Nc"', 'signature: "qXv7TzKw9LmRb2Nc"', 'code = "qXv7TzKw9LmRb2Nc"', 'smtp.dial("host", "gT7#qLw9zR")', 'PASSWORD = (\n    "S3cr3t!xQ"\n)'):
+        spans = secrets.scan(line + "\n", words)
+        assert len(spans) == 1 and line[spans[0][0]] in "Sqg", line
+    for line in ('k7 = "plain words"', 'seed = "first"', 'class Token:\n    """Parsed!"""\n'):
+        assert secrets.scan(line, words) == [], line
+    assert all(any(h in w for h in secrets.HINTS) for w in secrets.STRONG | secrets.NEUTRAL | set(secrets.CALLS))
+
+
 def test_secrets_of_many_pieces():
     words = secrets.dictionary()
     body = "\n".join("MIIEow9" + "IBAAKCAQEA7x" * 4 for _ in range(500))
