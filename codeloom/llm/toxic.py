@@ -23,6 +23,8 @@ from codeloom.session import table
 
 #: Labelled documents that are used at most, by the order of a hash of their id.
 LABELLED_DOCS = 3000
+#: Windows of harmless labelled documents that the network is trained on at most, taken at random with a fixed seed.
+HARMLESS_WINDOWS = 6000
 WINDOW, STRIDE = 16, 8
 THRESHOLD = 0.5
 WORDS, TRIGRAMS, EMBED, HIDDEN = 8192, 4096, 32, 24
@@ -34,6 +36,12 @@ _LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏкмтвнпгАЕОРСУ
 _LEET = str.maketrans("$@013457!|", "saoieastil")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CODE = re.compile(r"\S*(?:[a-z][A-Z]\w|[\w)]/\w|\w_\w|\w\.\w{2,4}\b|::|\(\))\S*")
+#: A tag of HTML: a known name, then attributes with values.
+_TAG = re.compile(
+    r"</?(?:a|abbr|article|aside|b|blockquote|body|br|button|code|dd|div|dl|dt|em|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|kbd|label|li|link|main|meta|nav|ol|option|p|pre|s|samp|script|section|select|small|span|strong|style|sub|sup|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|var|video)"
+    r"(?:\s+[\w:.\-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+)){0,40}\s*/?>|<!--|-->",
+    re.I,
+)
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._\-*])(?:[^\W_]\1)+[^\W_](?![^\W_])")
 _MIXED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[$@0-9!|*])[\w$@!|*]+(?!\S)")
 _STRETCH = re.compile(r"(.)\1{2,}")
@@ -42,13 +50,13 @@ _STRETCH = re.compile(r"(.)\1{2,}")
 def tokens(text: str) -> list[str]:
     """Lower-case words of a text, with disguises undone: look-alike letters, hidden characters, spread letters, signs for letters.
 
-    Paths and identifiers become one token each, so that their parts are no words.
+    Before a path's or an identifier's words stands a token that says so. Words are split at separators, not at capitals, which may be a disguise.
     """
     t = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text)).translate(_LOOKALIKE)
     t = _SPACED.sub(lambda m: re.sub(r"[ ._\-*]", "", m[0]), t)
-    t = re.sub(r"<[^<>]{0,200}>|https?://\S+", " ", t)
+    t = re.sub(r"https?://", " codeid ", _TAG.sub(" ", t))
     # All capitals are shouting, not identifiers.
-    t = _CODE.sub(lambda m: m[0] if m[0].isupper() and "/" not in m[0] and "_" not in m[0] else " codeid ", t)
+    t = _CODE.sub(lambda m: m[0] if m[0].isupper() and "/" not in m[0] and "_" not in m[0] else " codeid " + re.sub(r"[\W_]+", " ", m[0]) + " ", t)
     t = _MIXED.sub(lambda m: m[0].rstrip("!").translate(_LEET) if not m[0].rstrip("!.,;:").isdigit() else " ", t)
     t = re.sub(r"(?<=[^\W\d_])[*](?=[^\W\d_])", "", t)
     return [_STRETCH.sub(r"\1", w) if not w.isdigit() else "0" for w in _TOKEN.findall(t.lower())]
@@ -227,7 +235,7 @@ def train(labelled: list[tuple[str, int]], seed: int = 7) -> Network:
     rng = random.Random(seed)
     clean = [w for t, y in labelled if not y for w in windows(tokens(t))]
     rng.shuffle(clean)
-    clean = clean[:6000]
+    clean = clean[:HARMLESS_WINDOWS]
     harmful = seed_phrases(rng)
     harmless = [tokens(x) for x in toxic_seeds.HARMLESS]
 

@@ -354,6 +354,13 @@ def test_held_out_phrases():
     assert [t for t in bad if worst(t) < 0.5] == [] and [t for t in good if worst(t) >= 0.5] == []
 
 
+def test_tokens_keep_every_word():
+    for text in ("you iDiOt", "mOrOn here", "you moron/idiot", "kill_yourself now", "an idiot.You know", "a < b, you idiot > c", "<you idiot>"):
+        got = toxic.tokens(text)
+        assert any(w in got for w in ("idiot", "moron", "yourself")), (text, got)
+    assert toxic.tokens('<a href="idiot">x</a><br/>y') == ["x", "y"]
+
+
 def test_scores_of_odd_documents(spark):
     df = spark.createDataFrame([(1, "Wiki", None), (2, "wiki", ""), (3, None, "word " * 5000), (None, "a", "b")], "doc_id long, source string, text string").withColumn("score", F.lit(1))
     got = {r.doc_id: (r.score, r.n_windows) for r in toxic.score_documents(df, toxic.Network(1)).collect()}
