@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.embed import embed
 from codeloom.operators import chunking, history
 from codeloom.session import materialize
+from codeloom.sources.analysis import analysed
 from codeloom.sources.tables import BranchTable
 
 FILES = "path string, content_hash string, raw_text string, branch_id string"
@@ -25,8 +26,8 @@ class Workspace:
         self.vectors = BranchTable(spark, f"{root}/vectors", VECTORS)
 
     def _chunks(self, files: DataFrame) -> DataFrame:
-        windows = chunking.text_windows(files.select("branch_id", "path", "raw_text")).select("branch_id", "path", F.lit("text").alias("type"), F.col("path").alias("name"), "start_line", "end_line", "text")
-        return chunking.with_chunk_id(windows).dropDuplicates(["chunk_id"])
+        """CH2: code by functions, classes and blocks, whole; windows, with their limit, of files without functions and classes."""
+        return chunking.with_chunk_id(chunking.file_chunks(materialize(analysed(files), "build-analysis"))).dropDuplicates(["chunk_id"])
 
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         made = embed(chunking.prefixed_text(chunks), "chunk_id", "document_text")

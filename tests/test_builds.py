@@ -62,6 +62,19 @@ def test_builds(spark, tmp_path):
     assert w.build(scan([("a", "2", "new"), ("b", "1", "z"), ("d", "1", "w")]), "m", "sha")["files_changed"] == 0
 
 
+def test_builds_chunk_code_whole(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path / "w"))
+    body = "".join(f"    x{i} = {i}\n" for i in range(900))
+    docs = [("m.py", f"class A:\n    pass\n\ndef f():\n{body}\ndef last():\n    return 1\n"), ("Dockerfile", "FROM a:1\nRUN x\n"), ("compose.yml", "services:\n  api:\n    image: a\n"), ("n.txt", "words")]
+    w.build(spark.createDataFrame([(p, "1", t) for p, t in docs], "path string, content_hash string, raw_text string"), "m")
+    got = {(r.path, r.type, r.name): r for r in w.chunks.read().collect()}
+    assert {k[1:] for k in got if k[0] == "m.py"} == {("function", "f"), ("function", "last"), ("class", "A")}
+    assert "x899 = 899" in got["m.py", "function", "f"].text and got["m.py", "function", "last"].start_line == 906
+    assert got["m.py", "class", "A"].text == "Class: A" and got["m.py", "class", "A"].start_line == 1
+    assert ("Dockerfile", "docker_instruction", "RUN x") in got and ("compose.yml", "docker_service", "api") in got and ("n.txt", "text", "n.txt") in got
+    assert w.vectors.size("m") == len(got)
+
+
 def test_views(spark, sf):
     register_views(spark, sf, ["issue_summary"])
     assert spark.sql("select sum(total) from issue_summary").first()[0] >= 0
