@@ -35,17 +35,29 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Tr
     return seen.where("depth > 0")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _spread(edges: DataFrame, labels: DataFrame, label: str, at: str, to: str) -> DataFrame:
+    """Labels with the smallest one taken from ``at`` to ``to`` along the edges until it settles."""
+    while True:
+        pushed = edges.join(labels.withColumnRenamed("node", at), at).select(F.col(to).alias("node"), label)
+        new = materialize(labels.unionByName(pushed).groupBy("node").agg(F.min(label).alias(label)), "scc-labels")
+        settled = new.join(labels, ["node", label], "left_anti").isEmpty()
+        labels = new
+        if settled:
+            return labels
+
+
+def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """GR7: (node, component) of nodes on a cycle; a component is named by its smallest node, self-loops count.
 
-    Repeats: trim nodes that have no edge in or no edge out; spread the smallest label forward until it settles; of each label, the nodes that also reach
-    its root backward within the label are one component; remove them. Ends when no edge is left.
+    Repeats: trim nodes that have no edge in or no edge out; spread the smallest label forward and backward until both settle. Where both are
+    equal, the node reaches the label's and is reached by it: these are whole components, at least that of the smallest node, and are removed. Edges between nodes of
+    unlike labels lie on no cycle and are removed too. Ends when no edge is left; with ``max_rounds``, an error says so if edges are left.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     left = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
     parts = []
-    for _ in range(max_rounds):
-        for _ in range(max_rounds):
+    while True:
+        while True:
             n = left.count()
             both = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
             trimmed = left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
@@ -54,26 +66,16 @@ def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        labels = materialize(left.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "scc-labels")
-        while True:
-            pushed = left.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-            new = materialize(labels.unionByName(pushed).groupBy("node").agg(F.min("label").alias("label")), "scc-labels")
-            changed = new.join(labels, ["node", "label"], "left_anti").isEmpty()
-            labels = new
-            if changed:
-                break
-        a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("la")), labels.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
-        inner = materialize(left.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst", F.col("la").alias("label")), "scc-inner")
-        found = materialize(labels.where("node = label"), "scc-found")
-        while True:
-            back = inner.join(found.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "label")
-            new = materialize(found.unionByName(back).distinct(), "scc-found")
-            if new.count() == found.count():
-                break
-            found = new
-        parts.append(found)
-        gone = found.select(F.col("node"))
-        left = materialize(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
+        if max_rounds is not None and len(parts) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        own = left.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
+        forward = _spread(left, own, "label", "src", "dst")
+        backward = _spread(left, own.withColumnRenamed("label", "back"), "back", "dst", "src")
+        labels = materialize(forward.join(backward, "node"), "scc-found")
+        parts.append(labels.where("label = back").select("node", "label"))
+        rest = labels.where("label <> back")
+        a, b = (rest.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"), F.col("back").alias(f"b_{c}")) for c in ("src", "dst"))
+        left = materialize(left.join(a, "src").join(b, "dst").where("l_src = l_dst and b_src = b_dst").select("src", "dst"), "scc-edges")
     out = None
     for p in parts:
         rows = p.select("node", F.col("label").alias("component"))

@@ -221,3 +221,11 @@ def test_pushes(spark):
     assert [tuple(r) for r in push.pushes(df, "s").collect()] == [("a/b", "main", "abc", 1)]
     assert push.pushes(df, None).count() == 0
     assert push.pushes(df, "s", spark.createDataFrame([("git@github.com:other/x",)], "url string")).count() == 0
+
+
+def test_chain_of_cycles_keeps_every_component(spark):
+    pairs = [e for i in range(0, 12, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))]
+    want = {n: n - n % 2 for n in range(12)}
+    for edges in (pairs, [(11 - a, 11 - b) for a, b in pairs]):
+        got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), max_rounds=3).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == 12
