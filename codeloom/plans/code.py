@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import is_entrypoint
 from codeloom.operators import graph, impact
 from codeloom.session import materialize, table
-from codeloom.sources import code, lexical
+from codeloom.sources import code, docker, lexical
 
 
 def _symbols(spark, d):
@@ -78,21 +78,21 @@ def symbol_relations(spark, d):
 
 
 def docker_instructions(spark, d):
-    return code.docker_rows(table(spark, d, "files"))
+    return docker.instructions(table(spark, d, "files"))
 
 
-def docker_images(spark, d):
-    return code.docker_image_rows(table(spark, d, "files"))
+def docker_stages(spark, d):
+    return docker.stages(materialize(docker_instructions(spark, d), "docker")).drop("no")
 
 
-COMPOSE = [("b1", "deploy/compose.yaml", "x-base: &base\n  image: demo:1\nservices:\n  api:\n    <<: *base\n    depends_on: [db]\n    ports: ['80:80']\n  db:\n    image: pg\n    build: {context: .}\n    depends_on: {api: {condition: started}}\n"), ("b1", "compose.yml", "services: [")]
+def docker_images(spark, d):
+    return docker.images(materialize(docker_instructions(spark, d), "docker"))
 
 
 def compose_services(spark, d):
-    table(spark, d, "files")
-    files = spark.createDataFrame(COMPOSE, "branch_id string, path string, t string").select("branch_id", "path", F.struct(F.col("t").alias("raw_text")).alias("analysis"))
-    return code.compose_rows(files)
+    """Services of the files' Compose files."""
+    return docker.services(table(spark, d, "files"))
 
 
-QUERIES = {f.__name__: f for f in (python_definitions, python_calls, dead_code, function_references, import_edges, js_import_edges, layer_violations, code_items, call_impact, symbol_relations, docker_instructions, docker_images, compose_services)}
+QUERIES = {f.__name__: f for f in (python_definitions, python_calls, dead_code, function_references, import_edges, js_import_edges, layer_violations, code_items, call_impact, symbol_relations, docker_instructions, docker_stages, docker_images, compose_services)}
 SQL: dict[str, str] = {}

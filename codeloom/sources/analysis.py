@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import language
-from codeloom.sources import code, lexical
+from codeloom.sources import docker, lexical
 
 ANALYSED = (
     "branch_id string, path string, raw_text string, functions array<struct<name: string, code: string, start_line: int, end_line: int>>, classes array<string>, "
@@ -18,33 +18,14 @@ ANALYSED = (
 )
 
 
-def _compose_blocks(text: str) -> list[dict]:
-    """Services of a Compose file with their lines; other YAML gives none."""
-    try:
-        import yaml
-
-        doc, root = yaml.safe_load(text), yaml.compose(text, Loader=yaml.SafeLoader)
-        services = doc.get("services") if isinstance(doc, dict) else None
-        nodes = next(v.value for k, v in root.value if k.value == "services") if isinstance(services, dict) else []
-        lines, out = text.splitlines(), []
-        for k, v in nodes:
-            if isinstance(services.get(k.value), dict):
-                start = k.start_mark.line
-                end = min(max(start + 1, len(text[: v.end_mark.index].rstrip().splitlines())), len(lines))
-                out.append({"type": "docker_service", "name": k.value, "code": "\n".join(lines[start:end]), "start_line": start + 1, "end_line": end})
-        return out
-    except Exception:  # noqa: BLE001 - whatever the YAML reader says, such a file has no services
-        return []
-
-
 def analyse(path: str, lang: str | None, text: str) -> tuple[list[dict], list[str], dict, list[dict]]:
     """(functions, classes, class_locations, blocks) of one file; a file that no parser reads has none."""
-    if re.search(code._DOCKER_PATH, path):
+    if re.search(docker.DOCKER_PATH, path):
         lines = text.removeprefix("\ufeff").splitlines()
         name = lambda word, value: f"{word} {value.splitlines()[0] if value else ''}".rstrip()
-        return [], [], {}, [{"type": "docker_instruction", "name": name(w, v), "code": "\n".join(lines[a - 1 : z]), "start_line": a, "end_line": z} for w, v, a, z in code.docker_instructions(text)]
-    if re.search(code._COMPOSE_PATH, path):
-        return [], [], {}, _compose_blocks(text)
+        return [], [], {}, [{"type": "docker_instruction", "name": name(w, v), "code": "\n".join(lines[a - 1 : z]), "start_line": a, "end_line": z} for w, v, a, z in docker.docker_instructions(text)]
+    if re.search(docker.COMPOSE_PATH, path):
+        return [], [], {}, [{"type": "docker_service", "name": n, "code": c, "start_line": a, "end_line": z} for n, *_, a, z, c in docker.compose_services(text) if c is not None]
     items = lexical.extract(lang, text) if lang else []
     functions = [{"name": n, "code": c, "start_line": a, "end_line": z} for k, n, c, a, z in items if k == "function"]
     classes = {n: {"start_line": a, "end_line": z} for k, n, _, a, z in items if k == "class"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.functions.embed import embed
 from codeloom.operators import chunking, graph, history, issues, ranked, retrieval
-from codeloom.sources import code
+from codeloom.sources import code, docker
 from codeloom.sources.tables import BranchTable
 
 
@@ -154,13 +154,33 @@ def test_js_imports(spark):
     assert {(r.src, r.dst) for r in code.js_import_edges(df).collect()} == {("src/a.js", "src/b.ts"), ("src/a.js", "lib/index.js"), ("lib/index.js", "src/b.ts")}
 
 
-def test_docker():
+def test_docker(spark):
     src = "# escape=`\nFROM python:3 AS build\nRUN a `\n  # note\n\n  && b\nRUN <<EOF\nFROM fake\nEOF\nFROM scratch\nCOPY --from=build /x /y\nCOPY --from=nginx:1 /a /b\nCOPY --from=0 /a /b\n"
-    rows = code.docker_instructions(src)
+    rows = docker.docker_instructions(src)
     assert [r[0] for r in rows] == ["FROM", "RUN", "RUN", "FROM", "COPY", "COPY", "COPY"]
     assert rows[1][2:] == (3, 6) and rows[2][2:] == (7, 9)
-    assert code.docker_images(rows) == ["python:3", "nginx:1"]
-    assert code.compose_services("services: [") == [] and code.compose_services("a: 1") == []
+    multi = "# syntax=docker/dockerfile:1\r\nARG BASE=python:3.11-slim\r\nFROM --platform=$BUILDPLATFORM ${BASE} AS builder\r\nFROM Builder AS test\nFROM scratch\nCOPY --from=builder /a /a\nCOPY --from=busybox:1.36 /b /b\nCOPY --from=later /c /c\nFROM x AS later\nFROM x"
+    quoted = "FROM alpine\nRUN echo '<<EOF'\nRUN cat <<<word\nCOPY <<'A' <<-\"B\" /d\nFROM no\nA\n\tstill\n\tB\nCMD [\"sh\"]"
+    assert [(r[0], r[2], r[3]) for r in docker.docker_instructions(quoted)] == [("FROM", 1, 1), ("RUN", 2, 2), ("RUN", 3, 3), ("COPY", 4, 8), ("CMD", 9, 9)]
+    assert docker.docker_instructions("") == [] and docker.docker_instructions("\n# only\n") == [] and docker.docker_instructions("RUN a \\")[0][:2] == ("RUN", "a")
+    f = spark.createDataFrame([("b", "Dockerfile", src), ("b", "x/Dockerfile.dev", multi), ("b", "q.dockerfile", quoted), ("b", "bin/Dockerfile", "FROM a\0"), ("b", "notes.md", "FROM a")], "branch_id string, path string, t string")
+    f = f.select("branch_id", "path", F.struct(F.col("t").alias("raw_text")).alias("analysis"))
+    rows = docker.instructions(f)
+    assert {r.path: r.images for r in docker.images(rows).collect()} == {"Dockerfile": ["python:3", "nginx:1"], "x/Dockerfile.dev": ["${BASE}", "busybox:1.36", "later", "x"], "q.dockerfile": ["alpine"]}
+    st = [(r.stage_no, r.base_image, r["name"], r.start_line) for r in docker.stages(rows).where("path = 'x/Dockerfile.dev'").orderBy("stage_no").collect()]
+    assert st == [(1, "${BASE}", "builder", 3), (2, "Builder", "test", 4), (3, "scratch", None, 5), (4, "x", "later", 9), (5, "x", None, 10)]
+
+
+def test_compose(spark):
+    text = "x-base: &base\n  image: demo:1\nservices:\n  api:\n    <<: *base\n    build:\n      context: ./b\n    depends_on:\n      db:\n        condition: up\n    ports: ['80:80', 90]\n  w:\n    image: demo:1\n    depends_on: [api]\n  bad: 3\nvolumes:\n  d: {}\n"
+    api, w = docker.compose_services(text)
+    assert api[:5] == ("api", "demo:1", '{"context": "./b"}', ["db"], ["80:80", "90"]) and api[5:7] == (4, 11) and "w:" not in api[7]
+    assert w[0] == "w" and w[3] == ["api"] and w[5:7] == (12, 14)
+    for odd in ("services: [", "a: 1", "", "- list", "services: null", "services: {api: null}", "services: {1: {image: a}}"):
+        assert docker.compose_services(odd) == []
+    f = spark.createDataFrame([("b", "deploy/compose.prod.yaml", text), ("b", "compose.yml", "services: ["), ("b", "x.yml", text)], "branch_id string, path string, t string")
+    rows = docker.services(f.select("branch_id", "path", F.struct(F.col("t").alias("raw_text")).alias("analysis"))).collect()
+    assert sorted((r.path, r.service) for r in rows) == [("deploy/compose.prod.yaml", "api"), ("deploy/compose.prod.yaml", "w")]
 
 
 def test_git_sources(spark, tmp_path):
