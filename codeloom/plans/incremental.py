@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.merkle import changed_records
-from codeloom.session import table
+from codeloom.operators.merkle import MerkleStore
+from codeloom.session import shared_dir, table
 
 
 def last_states(file_log: DataFrame, build_runs: DataFrame) -> DataFrame:
@@ -27,11 +29,16 @@ def last_states(file_log: DataFrame, build_runs: DataFrame) -> DataFrame:
 
 
 def changed_files(files: DataFrame, file_log: DataFrame, build_runs: DataFrame) -> DataFrame:
-    """Files to process: (id, branch_id, path, content_hash, change)."""
+    """Files to process: (id, branch_id, path, content_hash, change).
+
+    The state that the log tells is adopted by a store, with its tree; the scan is compared with that tree.
+    """
     now = files.select("id", "branch_id", "path", F.lower("content_hash").alias("content_hash"))
     # A deleted path has no state to compare with, and neither has one logged without a hash.
     saved = last_states(file_log, build_runs).where("file_op != 'deleted'").select("branch_id", "path", "content_hash")
-    return changed_records(now, saved, ["branch_id", "path"], "content_hash")
+    store = MerkleStore(files.sparkSession, f"{shared_dir(files.sparkSession)}/recorded-{uuid.uuid4().hex}")
+    store.adopt(saved, ["branch_id", "path"], "content_hash")
+    return store.pending(now, "content_hash")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
