@@ -61,9 +61,11 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 # Parts of a name that make it a credential's.
-STRONG = set(
-    "password passwd passwort passphrase pass pwd pw kennwort clave contrasena passe secret secrets token tokens apikey auth bearer credential credentials cred creds conn hdr salt dsn".split()
-)
+STRONG = set("secret secrets token tokens apikey auth bearer credential credentials cred creds conn hdr salt dsn".split())
+#: Parts of a name whose value people choose: a password may consist of words and little else.
+PASSWORDS = set("password passwd passwort passphrase pass pwd pw kennwort clave contrasena passe".split())
+#: What makes a key a credential, if it stands before the word key; other keys name fields, messages or orders.
+KEY_KINDS = set("api secret private access auth encryption encrypt signing sign master client consumer service account storage shared webhook deploy license licence subscription admin session cipher aes hmac jwt rsa ssh app aws gcp azure stripe github".split())
 #: Parts of a name that describe a credential rather than hold it, or name a public value.
 DESCRIBING = set(
     "hint field pattern regex regexp name label text min max length len ttl path file filename ref prompt policy format id ids uuid guid sha sha1 sha256 sha512 hash "
@@ -72,10 +74,13 @@ DESCRIBING = set(
 )
 #: Last parts of a name that say nothing: what it holds must look random.
 NEUTRAL = set("license licence code seed signature".split())
+# Names with digits that say how something is done.
+TECHNICAL = set("sha1 sha224 sha256 sha384 sha512 md4 md5 hs256 hs384 hs512 rs256 rs384 rs512 es256 es384 ps256 aes128 aes192 aes256 ed25519 x25519 p256 p384 rsa2048 rsa4096 argon2 pbkdf2 oauth1 oauth2 base32 base58 base64 utf8 utf16 utf32 latin1 x509 pkcs1 pkcs8 pkcs12 http2 http3 ipv4 ipv6 s3 ec2 v1 v2 v3 v4".split())
 CALLS = "login log_in signin sign_in connect auth authenticate dial basic_auth setcredentials".split()
 # Words and prefixes near which credentials stand: those of the rules below, and the fixed values that formats begin with.
 HINTS = sorted(
     STRONG
+    | PASSWORDS
     | NEUTRAL
     | set(CALLS)
     | {"key", "contrase", "log in", "log-in", "basic ", "://", "curl", "rotat", "-u ", "-u=", "-u\t", "--user", "--proxy-user", "-----begin"}
@@ -103,6 +108,7 @@ _SPOKEN = re.compile(
 )
 _USED = re.compile(r"""\buse[ds]?\s+["'`]?(?P<v>[^\s"'`]{16,})""", re.I)
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_STOP = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY")
 _KEY_BODY = re.compile(r"(?:\\r|\\n|[\s\"'+,>#/*|])*(?P<v>[A-Za-z0-9+/=]{16,})")
 #: What stands between the lines of a key's body, and a line of it: a header or letters in base 64.
 _KEY_GAP = re.compile(r"(?:\\[rnt\\\n]|[\s\"'`,>#*|.&()]|\+(?=[\s\"'`\\])|//(?=\s))*+")
@@ -125,39 +131,58 @@ def dictionary(path: str = VOCABULARY) -> dict[str, float]:
 _RAW_COST = 3.4
 
 
-def residual(literal: str, words: dict[str, float]) -> int:
-    """How many letters and digits of a literal no dictionary word explains, by Viterbi segmentation.
+def _unexplained(run: str, words: dict[str, float]) -> int:
+    """Letters of a run that the cheapest segmentation leaves without a word, by Viterbi."""
+    s = run.lower()
+    n = len(s)
+    best, raw = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for i in range(n):
+        if best[i] + _RAW_COST < best[i + 1]:
+            best[i + 1], raw[i + 1] = best[i] + _RAW_COST, raw[i] + 1
+        for j in range(i + 3, min(n, i + 16) + 1):
+            c = words.get(s[i:j])
+            if c is not None and best[i] + c < best[j]:
+                best[j], raw[j] = best[i] + c, raw[i]
+    return raw[n]
+
 
-    Runs of letters are segmented in lower case; digits of common writing (years and short numbers) are explained.
+def residual(literal: str, words: dict[str, float], chosen: bool = False) -> int:
+    """How many characters of a literal no dictionary word explains.
+
+    Runs of letters are segmented by Viterbi. Digits are explained where they number a word (up to four of them, at the beginning or end of a part); digits that
+    alternate with letters are not, and neither are short runs of letters between them. With ``chosen``, where people choose a value, nothing but a word is explained: every digit and every
+    sign that joins no words counts.
     """
     left = 0
-    for run in re.findall(r"[A-Za-z]+|\d+", literal):
-        if run.isdigit():
-            left += len(run) if len(run) > 4 else 0
+    for part in re.findall(r"[^\W_]+", literal):
+        if part.lower() in TECHNICAL:
             continue
-        s = run.lower()
-        n = len(s)
-        best, raw = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for i in range(n):
-            if best[i] + _RAW_COST < best[i + 1]:
-                best[i + 1], raw[i + 1] = best[i] + _RAW_COST, raw[i] + 1
-            for j in range(i + 3, min(n, i + 16) + 1):
-                c = words.get(s[i:j])
-                if c is not None and best[i] + c < best[j]:
-                    best[j], raw[j] = best[i] + c, raw[i]
-        left += raw[n]
-    return left
+        runs = re.findall(r"[^\W\d_]+|\d+", part)
+        mixed = len(runs) > 2
+        for run in runs:
+            if run.isdigit():
+                left += len(run) if chosen or mixed or len(run) > 4 else 0
+            elif mixed and len(run) < 3:
+                left += len(run)
+            else:
+                # A number's unit or a word's end of one or two letters says nothing.
+                left += _unexplained(run, words) if len(run) > 2 or not mixed and len(runs) == 1 and len(part) > 2 else 0
+    return left + (len(re.findall(r"[^\w\s.\-/:]", literal)) if chosen else 0)
 
 
 def name_strength(name: str) -> int:
-    """2 for a credential's name, 1 for a name that says nothing, 0 for any other."""
+    """3 for a password's name, 2 for another credential's, 1 for a name that says nothing, 0 for any other."""
     parts = [p.lower() for p in _NAME_PARTS.findall(name)]
     if not parts:
         return 0
     if any(p in DESCRIBING for p in parts):
         return 0
-    if any(p in STRONG for p in parts) or parts[-1] in ("key", "keys"):
+    if any(p in PASSWORDS for p in parts):
+        return 3
+    if any(p in STRONG for p in parts) or parts[-1] in ("key", "keys") and any(p in KEY_KINDS for p in parts[:-1]):
         return 2
+    if parts[-1] in ("key", "keys"):
+        return 1
     if parts[-1] in NEUTRAL:
         return 1
     return 1 if _OPAQUE.match(name.split(".")[-1]) else 0
@@ -167,8 +192,14 @@ def is_placeholder(v: str) -> bool:
     return bool(PLACEHOLDER.match(v.strip()))
 
 
+#: Characters that words must leave over for a literal to be a secret, by the strength of its context.
+LEAST_RESIDUAL = {3: 1, 2: 2, 1: 10}
+#: The same for literals in a format that only credentials have: what is left to see is that it's no example made of words.
+LEAST_KNOWN = 3
+
+
 def judge(value: str, strength: int, words: dict[str, float], whole: bool = True) -> bool:
-    """Whether a literal is a secret; strength is that of its context."""
+    """Whether a literal is a secret: what words leave over decides, the more so the less its context says; strength is that of its context."""
     v = value.strip()
     known = bool(TOKEN_FORMATS.search(v) or (not whole and TOKEN_START.match(v)))
     if not known and (not strength or re.search(r"\s", v) or HASH_FORMATS.match(v) or "://" in v):
@@ -176,16 +207,11 @@ def judge(value: str, strength: int, words: dict[str, float], whole: bool = True
     if is_placeholder(v) or re.search(r"\[[^\[\]\-]*-[^\]]*\]", v[: v.rfind("]") + 1]):
         return False
     if known:
-        return True
-    if _HEX.match(v):
-        return True
-    if len(v) < 6:
+        return residual(v, words) >= LEAST_KNOWN
+    # A call or a member is code, not a value.
+    if len(v) < 6 and not _HEX.match(v) or re.match(r"^[\w.\-]*\(", v):
         return False
-    left = residual(v, words)
-    if strength >= 2:
-        # Words joined as in an identifier refer to something; a digit or a symbol makes them a password.
-        return left >= 5 or (bool(re.search(r"\d|[^\w.\-/:]", v)) and not re.match(r"^[\w.\-]*\(", v))
-    return left >= 10
+    return residual(v, words, strength >= 2) >= LEAST_RESIDUAL[strength]
 
 
 class _Automaton:
@@ -222,7 +248,7 @@ def _joined(text: str, value: str, at: int) -> tuple[str, list[tuple[int, int]]]
 def _key_end(text: str, at: int) -> int:
     """Where the body of a private key ends whose header ends at ``at``: before its END line, or after its last line if it is cut off.
 
-    Lines are followed one by one, however many. Bodies written in other ways count up to an END within 20,000 characters, if no other key begins before.
+    Lines are followed one by one, however many. Bodies written in other ways count up to a key's END line, if nothing else begins before.
     """
     last, pos = 0, at
     while True:
@@ -238,9 +264,9 @@ def _key_end(text: str, at: int) -> int:
         if not (n >= 40 or n >= 16 and re.search(r"[0-9+/]", m[0]) or last and n and (m.end() == len(text) or text.startswith("-----END", _KEY_GAP.match(text, m.end()).end()) or m[0][0] == "=" and n == 5)):
             break
         last = pos = m.end()
-    stop = text.find("-----END", at, at + 20_000)
-    if stop >= 0 and text.find("-----BEGIN", at, stop) < 0:
-        return stop
+    following = text.find("-----BEGIN", at)
+    if stop := _KEY_STOP.search(text, at, following if following >= 0 else len(text)):
+        return stop.start()
     return max(last, _KEY_BODY.match(text, at).end("v"))
 
 
@@ -275,16 +301,17 @@ def scan(text: str, words: dict[str, float], snippet: bool = False) -> list[tupl
             if _KEY_BODY.match(text, a + m.end()):
                 add(a + m.start(), _key_end(text, a + m.end()), "private_key")
         for m in _URL.finditer(line):
-            if not is_placeholder(m["v"]):
+            if not is_placeholder(m["v"]) and residual(m["v"], words, True) >= LEAST_RESIDUAL[3]:
                 add(a + m.start("v"), a + m.end("v"), "url_password")
         for m in _SCHEME.finditer(line):
             v = m["v"]
             if m["name"].lower() == "basic":
                 try:
-                    ok = b":" in base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
+                    login = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("utf-8", "replace")
                 except (binascii.Error, ValueError):
-                    ok = False
-                ok = ok and not is_placeholder(v)
+                    login = ""
+                said = login.partition(":")[2]
+                ok = bool(said) and not is_placeholder(v) and not is_placeholder(said) and residual(said, words, True) >= LEAST_RESIDUAL[3]
             else:
                 ok = judge(v, 2, words)
             if ok:
@@ -309,26 +336,26 @@ def scan(text: str, words: dict[str, float], snippet: bool = False) -> list[tupl
             add(a + m.start("v"), a + m.start("v") + len(m["v"].rstrip(",;")), "assignment")
         for m in _OPTION.finditer(line):
             s = name_strength(m["name"].lstrip("-"))
-            if s >= 2 and judge(m["v"], 2, words):
+            if s >= 2 and judge(m["v"], s, words):
                 add(a + m.start("v"), a + m.end("v"), "option")
         for m in _USER_OPTION.finditer(line):
-            if judge(m["v"], 2, words):
+            if judge(m["v"], 3, words):
                 add(a + m.start("v"), a + m.end("v"), "option")
         for m in _CALL.finditer(line):
             literals = list(_LITERAL.finditer(m["args"]))
             if len(literals) >= 2:
                 v = literals[-1]
-                if judge(v["v"], 2, words):
+                if judge(v["v"], 3, words):
                     at = a + m.start("args")
                     add(at + v.start("v"), at + v.end("v"), "login")
         for m in _SPOKEN.finditer(line):
-            if judge(m["v"], 2, words):
+            if judge(m["v"], name_strength(m["n1"] or "") or 3, words):
                 add(a + m.start("v"), a + m.end("v"), "login")
         for m in _USED.finditer(line):
             if judge(m["v"], 1, words):
                 add(a + m.start("v"), a + m.end("v"), "token")
         for m in TOKEN_FORMATS.finditer(line):
-            if not is_placeholder(m[0]):
+            if judge(m[0], 2, words):
                 add(a + m.start(), a + m.end(), "token")
     return [found[x] for x in sorted(found)]
 
