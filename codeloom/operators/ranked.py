@@ -1,8 +1,8 @@
-"""Ranks and prefix sums within groups of any size.
+"""Ranks, joins and prefix sums within groups of any size.
 
 A window over a group runs in one task, so a group with a third of all rows would stop the
-job. Here a group is cut by a monotone bucket of its ordering value: ranks are taken within
-buckets, and the sizes of the lower buckets, a short list per group, are added.
+job. Here equal values are counted first, so that ties are one row, and a group's distinct values are cut at sampled quantiles of theirs: ranks are taken
+within the parts, and the sizes of the lower parts, a short list per group, are added.
 """
 
 from __future__ import annotations
@@ -10,37 +10,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets per doubling of the absolute value.
-STEPS = 64
+#: Parts that the distinct values of a group are cut into.
+PARTS = 200
+#: Rows from which a join key is hot, and tasks that its rows are spread over.
+HOT_KEY, SALTS = 100_000, 64
 
 
-def monotone_bucket(x: Column, steps: int = STEPS) -> Column:
-    """An integer that never falls when ``x`` rises; about ``steps`` values per doubling.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], n: str, spread: Column, hot_rows: int = HOT_KEY, salts: int = SALTS) -> DataFrame:
+    """Inner equi-join with a side that has one row per key and, in column ``n``, the number of rows of that key on the left.
 
-    Doubles span fewer than 2 * 2100 doublings, so a group has a bounded number of buckets.
+    Keys of more than ``hot_rows`` rows, of which there are at most one per ``hot_rows`` rows, are spread by ``spread`` over ``salts`` tasks, for
+    which their right row is repeated; others are joined as usual. Null keys match nothing.
     """
-    size = F.floor(F.log2(F.greatest(F.abs(x), F.lit(1e-300))) * steps) + 1000 * steps
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * (size + 1)).cast("long")
+    hot = right.where(F.col(n) > hot_rows).select(*on)
+    n_hot = hot.count()
+    if not n_hot:
+        return left.join(right, on)
+    marked = hot.withColumn("__hot", F.lit(True))
+    l = left.join(F.broadcast(marked) if n_hot <= 50_000 else marked, on, "left")  # noqa: E741
+    l = l.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")  # noqa: E741
+    r = right.withColumn("__salt", F.explode(F.when(F.col(n) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return l.join(r, [*on, "__salt"]).drop("__salt")
 
 
-def grouped_rank(df: DataFrame, keys: list[str], value: str, rank: str = "rank", total: str = "total") -> DataFrame:
+def grouped_rank(df: DataFrame, keys: list[str], value: str, rank: str = "rank", total: str = "total", spread: Column | None = None, parts: int = PARTS, hot_rows: int = HOT_KEY) -> DataFrame:
     """Adds ``rank``, the 1-based rank of ``value`` ascending with ties sharing the lowest, and ``total``.
 
-    ``value`` must be a double that is not null. No task sees more rows of a group than one bucket holds.
+    ``value`` must be a double that is not null. Each task ranks one part of a group's distinct values, whatever their distribution; rows of one
+    value get their rank by a join in which frequent values are spread by ``spread`` (by default all columns).
     """
-    b = df.withColumn("__b", monotone_bucket(F.col(value)))
-    inner = Window.partitionBy(*keys, "__b").orderBy(value)
-    ranked = b.withColumn("__r", F.rank().over(inner))
-    sizes = b.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    at = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(50 * parts))
+    bounds = counted.groupBy(*keys).agg(at.alias("__at"))
+    b = counted.join(bounds, keys).withColumn("__b", F.size(F.filter("__at", lambda x: x < F.col(value)))).drop("__at")
+    inner = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = b.withColumn("__r", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     w = Window.partitionBy(*keys)
-    lower = sizes.withColumn("__below", F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
-        total, F.sum("__n").over(w)
-    )
-    return (
-        ranked.join(lower.drop("__n"), [*keys, "__b"])
-        .withColumn(rank, F.col("__r") + F.col("__below"))
-        .drop("__b", "__r", "__below")
-    )
+    sizes = b.groupBy(*keys, "__b").agg(F.sum("__n").alias("__s"))
+    below = sizes.withColumn("__below", F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("__s").over(w)).drop("__s")
+    ranks = inside.join(below, [*keys, "__b"]).select(*keys, value, "__n", (F.col("__r") + F.col("__below") + 1).alias(rank), total)
+    return salted_join(df, ranks, [*keys, value], "__n", spread if spread is not None else F.struct(*df.columns), hot_rows).drop("__n")
 
 
 def lead_in_order(df: DataFrame, order: str, value: str, name: str, bucket: int = 100_000) -> DataFrame:

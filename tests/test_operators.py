@@ -42,6 +42,11 @@ def test_ranks_do_not_depend_on_buckets(spark):
     for r in got:
         same = [v for k, v in rows if k == r.k]
         assert r.rank == 1 + sum(v < r.v for v in same) and r.total == len(same)
+    # Ties of a third of all rows are spread; close values fall into different parts.
+    close = [("a", 0.8 + i * 1e-9) for i in range(300)] + [("a", 0.5)] * 200
+    df = spark.createDataFrame(close, "k string, v double")
+    hot = ranked.grouped_rank(df, ["k"], "v", spread=F.rand(1), hot_rows=50).collect()
+    assert sorted((r.v, r.rank, r.total) for r in hot) == sorted((v, 1 + sum(y < v for _, y in close), 500) for _, v in close)
 
 
 def test_rules_find_each_line_once(spark):
