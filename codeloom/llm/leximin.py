@@ -41,7 +41,7 @@ def method_scores(rows: DataFrame) -> DataFrame:
 def _percentiles(scores: DataFrame, split: bool) -> DataFrame:
     """(query_id, chunk_id, exact, p); ``split`` cuts a query's scores into value ranges instead of ranking them in one task."""
     if split:
-        ranked = grouped_rank(scores.where(F.col("score").isNotNull()), ["query_id", "method"], "score")
+        ranked = grouped_rank(scores.where(F.col("score").isNotNull()), ["query_id", "method"], "score", spread=F.col("chunk_id"))
     else:
         w = Window.partitionBy("query_id", "method")
         known = scores.where(F.col("score").isNotNull())

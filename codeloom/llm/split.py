@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import table
@@ -21,12 +21,9 @@ PIECE_SCHEMA = (
 )
 
 #: Kinds of boundaries from the most to the least natural.
-_BOUNDARIES = (
-    ("blank", re.compile(r"\r?\n[ \t]*\r?\n(?:[ \t]*\r?\n)*")),
-    ("line", re.compile(r"\n")),
-    ("sentence", re.compile(r"[.!?;][\"')\]]*\s+")),
-    ("word", re.compile(r"\s+")),
-)
+KINDS_OF_CUTS = ("blank", "line", "sentence", "word")
+_TOKEN = re.compile(r"\n|[^\S\n]+|\S+")
+_SENTENCE_END = re.compile(r"[.!?;][\"')\]]*$")
 #: A piece cut at a more natural boundary must still use this share of the limit.
 _LEAST_FILL = 0.5
 
@@ -34,15 +31,26 @@ _LEAST_FILL = 0.5
 class Boundaries:
     """Sorted cut positions of one text, per kind, from prefix sums of its tokens' lengths.
 
-    Tokens are runs of whitespace and of other characters; the prefix sums of their lengths are
-    all token offsets, from which the positions after blank lines, lines, sentences and words are taken.
+    Tokens are line ends, other white space and runs of other characters; the prefix sums of their lengths are all token offsets. Each offset is a
+    cut of the kind that the tokens before it make: after a blank line, a line, a sentence, or else between words.
     """
 
     def __init__(self, text: str):
-        tokens = re.findall(r"\s+|\S+", text)
-        self.offsets = list(accumulate(map(len, tokens), initial=0))
-        self.kinds = [(name, [m.end() for m in rx.finditer(text)]) for name, rx in _BOUNDARIES[:3]]
-        self.kinds.append(("word", self.offsets))
+        words = _TOKEN.findall(text)
+        self.offsets = list(accumulate(map(len, words), initial=0))
+        blank, line, sentence = [], [], []
+        empty = False
+        for i, w in enumerate(words):
+            if w == "\n":
+                line.append(self.offsets[i + 1])
+                if empty:
+                    blank.append(self.offsets[i + 1])
+                empty = True
+            elif not w.isspace():
+                empty = False
+                if i + 1 < len(words) and words[i + 1].isspace() and _SENTENCE_END.search(w[-8:]):
+                    sentence.append(self.offsets[i + 2])
+        self.kinds = list(zip(KINDS_OF_CUTS, (blank, line, sentence, self.offsets)))
 
     def last(self, low: int, high: int) -> tuple[int, str]:
         """The best cut in (low, high]: the last one of the most natural kind that leaves a well-filled piece."""
@@ -54,13 +62,18 @@ class Boundaries:
                     return at[i], name
         return high, "hard"
 
+    def before(self, low: int, at: int) -> int:
+        """The last token offset in (low, at], or ``at`` itself."""
+        i = bisect_right(self.offsets, at) - 1
+        return self.offsets[i] if i >= 0 and self.offsets[i] > low else at
+
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of the pieces of a text, in code points.
 
     Pieces are at most ``limit`` long, cover the text and share at least ``overlap`` characters
-    where that leaves progress (``overlap`` is lowered to ``limit`` - 1). The start of a piece is
-    ``overlap`` before the end of the one before, so the overlap is exactly the one named.
+    (lowered to ``limit`` - 1). A piece starts at the last token offset from which the overlap is reached, if that is at most as much again (or 32 characters) back and leaves
+    half of a piece for new text; else exactly ``overlap`` before the end of the one before.
     A text within the limit is one piece; the empty text is one empty piece.
     """
     if limit < 1:
@@ -69,18 +82,20 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     n = len(text)
     if n <= limit:
         return [(0, n, "whole")]
-    b, out, start = Boundaries(text), [], 0
+    b, out, start, end = Boundaries(text), [], 0, 0
     while True:
         if n - start <= limit:
             out.append((start, n, "end"))
             return out
-        # A cut must lie beyond the overlap, else the next piece would not advance.
-        end, kind = b.last(start + overlap, start + limit)
+        # A cut must lie beyond the overlap and the end before, else the next piece would not advance.
+        end, kind = b.last(max(start + overlap, end), start + limit)
         # CRLF stays together.
         if kind == "hard" and text[end - 1 : end + 1] == "\r\n" and end - 1 > start + overlap:
             end -= 1
         out.append((start, end, kind))
-        start = end - overlap
+        exact = end - overlap
+        furthest = max(start, exact - min(max(overlap, 32), (limit - overlap) // 2))
+        start = b.before(furthest, exact) if overlap else exact
 
 
 def first_line(code: str, raw: str | None, start: int | None, end: int | None) -> int:
@@ -121,68 +136,64 @@ def first_line(code: str, raw: str | None, start: int | None, end: int | None) -
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for r in pdf.itertuples(index=False):
-            text = r.code
-            pieces = cut(text, int(r.max_chars), int(r.overlap))
-            base = 1 if r.item_kind == "raw_text" else first_line(text, r.raw_text, r.start_line, r.end_line)
-            # Prefix sums of newlines, at the ends of lines.
-            newlines = [m.start() for m in re.finditer("\n", text)]
-            previous = 0
-            for k, (a, z, kind) in enumerate(pieces, 1):
-                first = base + bisect_left(newlines, a)
-                last = base + bisect_left(newlines, max(a, z - 1))
-                rows.append((r.file_id, r.item_kind, r.item_no, k, len(pieces), a, z, max(0, previous - a), first, last, kind, text[a:z]))
-                previous = z
+        for file_id, raw, found in zip(pdf.file_id, pdf.raw_text, pdf["items"]):
+            for r in found:
+                text = r["code"]
+                if r["item_kind"] == "raw_text":
+                    text, base = raw, 1
+                else:
+                    base = first_line(text, raw, r["start_line"], r["end_line"])
+                pieces = cut(text, int(r["max_chars"]), int(r["overlap"]))
+                # Prefix sums of newlines, at the ends of lines.
+                newlines = [m.start() for m in re.finditer("\n", text)]
+                previous = 0
+                for k, (a, z, kind) in enumerate(pieces, 1):
+                    first = base + bisect_left(newlines, a)
+                    last = base + bisect_left(newlines, max(a, z - 1))
+                    rows.append((file_id, r["item_kind"], r["item_no"], k, len(pieces), a, z, max(0, previous - a), first, last, kind, text[a:z]))
+                    previous = z
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
 
-def items(files: DataFrame) -> DataFrame:
-    """All items of the files: (file_id, item_kind, item_no, code, raw_text, start_line, end_line).
+def _limits(limits: DataFrame) -> dict[str, tuple[int, int]]:
+    """(max_chars, overlap) by kind; at most one row for each of KINDS comes to the driver."""
+    per_kind = limits.where(F.col("item_kind").isin(*KINDS) & (F.col("max_chars") > 0)).groupBy("item_kind").agg(
+        F.min("max_chars").alias("max_chars"), F.coalesce(F.min("overlap_chars"), F.lit(0)).alias("overlap")
+    )
+    return {r["item_kind"]: (r["max_chars"], r["overlap"]) for r in per_kind.collect()}
+
+
+def oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
+    """(file_id, raw_text, items) of the files that have items with more code points than their kind's ``max_chars``, a row per file.
 
     Functions and blocks by their place in their array from 1, raw texts as item 1 where functions and
-    classes are empty or null. Null arrays, elements and codes give no items. Everything here
-    runs inside the JVM, and a filter on the code's length is applied before texts are copied.
+    classes are empty or null; the code of a raw text is left null, since it stands beside. Null arrays, elements and codes give no items; kinds without a limit, or
+    with a null one, are never oversized. A file's text is carried once however many of its items are too long, and only of files that have any. Re-delivered rows are dropped after that filter.
     """
+    of = _limits(limits)
     a = "analysis"
-    base = files.where(F.col(a).isNotNull()).select(F.col("id").alias("file_id"), F.col(a))
-
-    def exploded(kind: str, array: str) -> DataFrame:
-        one = base.select("file_id", F.col(f"{a}.raw_text").alias("raw_text"), F.posexplode(f"{a}.{array}").alias("pos", "x"))
-        return one.select(
-            "file_id",
-            F.lit(kind).alias("item_kind"),
-            (F.col("pos") + 1).alias("item_no"),
-            F.col("x.code").alias("code"),
-            "raw_text",
-            F.col("x.start_line").alias("start_line"),
-            F.col("x.end_line").alias("end_line"),
-        )
-
-    empty = lambda c: F.coalesce(F.size(f"{a}.{c}"), F.lit(0)) <= 0
-    raw = base.where(empty("functions") & empty("classes")).select(
-        "file_id",
-        F.lit("raw_text").alias("item_kind"),
-        F.lit(1).alias("item_no"),
-        F.col(f"{a}.raw_text").alias("code"),
-        F.lit(None).cast("string").alias("raw_text"),
-        F.lit(1).alias("start_line"),
-        F.lit(None).cast("int").alias("end_line"),
-    )
-    return exploded("function", "functions").unionByName(exploded("block", "blocks")).unionByName(raw).where(F.col("code").isNotNull())
 
+    def item(kind: str, no, code, start, end) -> Column:
+        most, overlap = of[kind]
+        text = lambda x, t: F.lit(None).cast(t) if x is None else x.cast(t)
+        return F.struct(
+            F.lit(kind).alias("item_kind"), no.cast("int").alias("item_no"), text(code, "string").alias("code"), text(start, "int").alias("start_line"), text(end, "int").alias("end_line"), F.lit(most).alias("max_chars"), F.lit(overlap).alias("overlap")
+        )
 
-def oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
-    """Items with more code points than their kind's ``max_chars``, once each.
+    def long_ones(kind: str, array: str) -> Column:
+        each = F.transform(f"{a}.{array}", lambda x, i: item(kind, i + 1, x["code"], x["start_line"], x["end_line"]))
+        return F.coalesce(F.filter(each, lambda x: F.length(x["code"]) > of[kind][0]), F.array())
 
-    ``limits`` has a row per item kind, so it is a bounded dimension; kinds without a limit, or
-    with a null one, are never oversized. Re-delivered rows are dropped after the length filter,
-    when few rows are left to shuffle.
-    """
-    per_kind = limits.where(F.col("item_kind").isin(*KINDS) & (F.col("max_chars") > 0)).groupBy("item_kind").agg(
-        F.min("max_chars").alias("max_chars"), F.coalesce(F.min("overlap_chars"), F.lit(0)).alias("overlap")
-    )
-    long = items(files).join(F.broadcast(per_kind), "item_kind").where(F.length("code") > F.col("max_chars"))
-    return long.dropDuplicates(["file_id", "item_kind", "item_no"])
+    parts = [long_ones(kind, array) for kind, array in (("function", "functions"), ("block", "blocks")) if kind in of]
+    if "raw_text" in of:
+        empty = lambda c: F.coalesce(F.size(f"{a}.{c}"), F.lit(0)) <= 0
+        long = empty("functions") & empty("classes") & (F.length(f"{a}.raw_text") > of["raw_text"][0])
+        parts.append(F.when(long, F.array(item("raw_text", F.lit(1), None, F.lit(1), None))).otherwise(F.array()))
+    base = files.where(F.col(a).isNotNull() & F.col("id").isNotNull())
+    if not parts:
+        return base.select(F.col("id").alias("file_id"), F.col(f"{a}.raw_text").alias("raw_text"), F.array().alias("items")).limit(0)
+    rows = base.select(F.col("id").alias("file_id"), F.col(f"{a}.raw_text").alias("raw_text"), F.concat(*parts).alias("items"))
+    return rows.where(F.size("items") > 0).dropDuplicates(["file_id"])
 
 
 def split_items(files: DataFrame, limits: DataFrame) -> DataFrame:
@@ -192,8 +203,10 @@ def split_items(files: DataFrame, limits: DataFrame) -> DataFrame:
     lines of the file from 1, counted at ``\\n``. Items within their limit, empty and null codes give
     no rows; empty tables give none. Other columns of ``files`` are ignored.
     """
-    cols = ["file_id", "item_kind", "item_no", "code", "raw_text", "start_line", "end_line", "max_chars", "overlap"]
-    return oversized(files, limits).select(*cols).mapInPandas(_split_batches, PIECE_SCHEMA)
+    rows = oversized(files, limits)
+    if "void" in rows.schema["items"].dataType.simpleString():
+        return files.sparkSession.createDataFrame([], PIECE_SCHEMA)
+    return rows.mapInPandas(_split_batches, PIECE_SCHEMA)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

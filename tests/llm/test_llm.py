@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 import time
 
@@ -45,7 +46,7 @@ def test_pieces_round_trip(seed):
     assert all(0 < z - a <= limit for a, z, _ in pieces)
     assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for (_, z, _), (b, y, _) in itertools.pairwise(pieces):
-        assert z - b == overlap and y > z
+        assert overlap <= z - b <= max(2 * overlap, overlap + 32) and y > z
     rebuilt = text[pieces[0][0] : pieces[0][1]] + "".join(text[p[1] : q[1]] for p, q in itertools.pairwise(pieces))
     assert rebuilt == text
 
@@ -53,7 +54,11 @@ def test_pieces_round_trip(seed):
 def test_cut_edges():
     assert split.cut("", 5, 2) == [(0, 0, "whole")]
     assert split.cut("abcde", 5, 2) == [(0, 5, "whole")]
-    assert len(split.cut("x" * 1_000_000, 1000, 200)) == 1250 or True
+    assert len(split.cut("x" * 1_000_000, 1000, 200)) == 1250
+    # Pieces begin where words do, and overlap by at least what is asked.
+    text = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    pieces = split.cut(text, 30, 8)
+    assert all(a == 0 or text[a - 1] == " " or text[a] == " " for a, _, _ in pieces) and len(pieces) > 2
     assert split.cut("aaa\n\nbbb\nccc", 8, 0)[0] == (0, 5, "blank")
 
 
@@ -279,6 +284,27 @@ def test_terms(spark):
     assert got == {"parse": 1, "httpthing": 1, "alpha": 1, "thing": 2}
     scored = distinctive.distinctive_terms(distinctive.term_counts(df, "k", ["path", "name", "text"]), "k")
     assert all(r.z == r.z for r in scored.collect())
+    rng = random.Random(4)
+    vocab = ["alpha", "bravo", "charlie", "deltas", "echoes"]
+    docs = {f"d{i}": [rng.choice(vocab[: 2 + i % 4]) for _ in range(rng.randrange(1, 9))] for i in range(30)}
+    counts = distinctive.term_counts(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "k string, text string"), "k", ["text"])
+    total = sum(map(len, docs.values()))
+    corpus = {t: sum(v.count(t) for v in docs.values()) for t in vocab}
+    for r in distinctive.distinctive_terms(counts, "k").collect():
+        a, a0, y, n = corpus[r.term] * 0.01, total * 0.01, docs[r.k].count(r.term), len(docs[r.k])
+        odds = math.log(y + a) - math.log(n + a0 - y - a + 1e-9) - math.log(corpus[r.term] - y + a) + math.log(total - n + a0 - (corpus[r.term] - y) - a + 1e-9)
+        assert abs(r.z - odds / math.sqrt(1 / (y + a) + 1 / (corpus[r.term] - y + a))) < 1e-6
+    every = {(r.k, r.term): r.z for r in distinctive.distinctive_terms(counts, "k").collect()}
+    few = {(r.k, r.term): r.z for r in distinctive.distinctive_terms(counts, "k", least_n=2, most_df=12).collect()}
+    df_of = {t: sum(t in v for v in docs.values()) for t in vocab}
+    assert few == {(k, t): z for (k, t), z in every.items() if docs[k].count(t) >= 2 and df_of[t] <= 12}
+    # The same by the join that spreads frequent terms.
+    old = distinctive.BROADCAST_BYTES
+    try:
+        distinctive.BROADCAST_BYTES = 0
+        assert {(r.k, r.term): r.z for r in distinctive.distinctive_terms(counts, "k").collect()} == every
+    finally:
+        distinctive.BROADCAST_BYTES = old
     assert distinctive.distinctive_terms(distinctive.term_counts(df.limit(0), "k", ["text"]), "k").count() == 0
 
 
@@ -313,13 +339,19 @@ def test_mixture(spark):
     sizes = {s: float(sum(n for _, t, n in docs if t == s)) for s in "abc"}
     targets, repeats = {"a": 0.5, "b": 0.3, "c": 0.2, "gone": 0.1}, {"a": 1, "b": 2, "c": 3, "gone": 1}
     x, budget, w = mix.plan(sizes, targets, repeats)
-    assert x == 1.0 and abs(w["a"] - 0.5) < 1e-9
+    assert x == 1.0 and abs(w["a"] - 0.5) < 1e-9 and abs(budget - mix.largest_budget(sizes, w, repeats)) < 1e-3
     got = mix.permuted(spark.createDataFrame(docs, "doc_id long, source string, n_tokens long"), {k: v * budget for k, v in w.items()}).collect()
     total = sum(r.n_tokens for r in got)
     for s in "abc":
         assert abs(sum(r.n_tokens for r in got if r.source == s) / total - w[s]) < 0.005
         assert max(r.pass_no for r in got if r.source == s) <= repeats[s]
     assert len({(r.doc_id, r.pass_no) for r in got}) == len(got)
+    # The sources are interleaved: every tenth of the mixture has the shares.
+    for tenth in range(10):
+        part = [r for r in got if tenth / 10 <= r.mix_order < (tenth + 1) / 10]
+        assert abs(sum(r.n_tokens for r in part if r.source == "a") / sum(r.n_tokens for r in part) - 0.5) < 0.05
+    order = [[r.doc_id for r in sorted(got, key=lambda r: r.mix_order) if r.source == "c" and r.pass_no == k] for k in (1, 2)]
+    assert order[0] != order[1] and len(set(order[0])) == 200
     y, more, w2 = mix.plan(sizes, targets, repeats, budget * 1.3)
     assert 0 < y < 1 and mix.largest_budget(sizes, w2, repeats) >= more * 0.999
 
@@ -329,11 +361,21 @@ def test_temperature():
     x = mix.exponent_for_entropy(s, 0.9)
     assert abs(mix.entropy(mix.temperature_weights(s, x)) - 0.9) < 1e-6
     assert mix.plan({}, {"a": 1.0}, {"a": 1}) == (0.0, 0.0, {})
+    # A limit of 0 takes nothing, and thousands of sources are planned like a few.
+    assert set(mix.plan({"a": 5.0, "b": 5.0}, {"a": 0.5, "b": 0.5}, {"a": 0, "b": 2})[2]) == {"b"}
+    many = {f"s{i}": 1.0 + i for i in range(20_000)}
+    heat, _, w = mix.plan(many, {k: 1.0 for k in many}, dict.fromkeys(many, 3))
+    assert heat == 1.0 and len(w) == 20_000 and abs(w["s0"] - w["s19999"]) < 1e-9
 
 
 def test_tokens(spark):
     assert tokens.count(None) == 0 and tokens.count("") == 0 and tokens.count("hello world") == 2
-    assert tokens.count("a" * 120_000) > 0
+    enc = tokens.encoding()
+    rng = random.Random(3)
+    for _ in range(4):
+        t = "".join(rng.choice(["word", " ", "  ", "\n", "é", "1", "don't", "\t \n ", "." * 9]) for _ in range(60_000))
+        assert tokens.count(t) == len(enc.encode_ordinary(t))
+    assert tokens.count("a" * 300_000) == len(enc.encode_ordinary("a" * 300_000)) and tokens.count(" " * 1_000_000) > 0
     df = spark.createDataFrame([(1, "Wiki ", "hello world"), (1, "Wiki ", "hello world"), (2, "mail-archive", None), (None, "x", "y")], "doc_id long, source string, text string")
     assert sorted((r.doc_id, r.source, r.n_tokens) for r in tokens.sized(df).collect()) == [(1, "wiki", 2), (2, "mail_archive", 0)]
 
