@@ -149,6 +149,27 @@ def test_machine_files(spark):
     assert generated.machine_files(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_notices_and_directories_alone_prove_no_third_party(spark):
+    own = "\n".join(["import os", "LIMIT = 3", "def load(path, strict=False):", "    if not path:", "        return None", "    with open(path) as f:", "        text = f.read()", "    return sorted(text.split())[:LIMIT]"])
+    routes = "urlpatterns = [\n" + "\n".join(f'    path("{a}{b}/", views.{a}_{b}, name="{b}"),' for a in ("user", "order", "shop", "item", "page") for b in ("list", "show", "edit", "drop", "find")) + "\n]\n"
+    series = "\n".join(f"_F_{w} = d.Field(name='{w}', index={i}, number={i + 1})" for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * 8))
+    hand = {
+        "a1.py": "# SPDX-License-Identifier: Apache-2.0\n" + own, "a2.py": "# Licensed under the MIT License\n" + own, "a3.py": "# Copyright 2024 The Shop-Front Authors. All rights reserved.\n" + own,
+        "a4.py": "# Do not edit without asking the owner first\n" + own, "app/urls.py": routes, "src/vendor/model.py": own, "src/external/client.py": own, "deps/own/x.py": own, "contrib/hooks/y.py": own, "c5.py": "# Copyright (c) 2020 Acme Inc.\n" + own,
+    }
+    theirs = {
+        "lib/x.py": "# Copyright 2019 The Otherlib Authors. All rights reserved.\n" + own + "\nA = 1", "vendor/otherlib/y.py": own + "\nB = 1", "vendor/github.com/z/z.py": own + "\nC = 1", "gen.py": "# DO NOT EDIT\n" + own, "fields.py": series,
+    }
+    rows = [(p, "b1", p, (None, None, None, t)) for p, t in {**hand, **theirs}.items()]
+    branches = spark.createDataFrame([("b1", "r1")], "id string, repository_id string")
+    repos = spark.createDataFrame([("r1", "https://git.example.invalid/acme/shop-front.git")], "id string, url string")
+    got = {r.file_id for r in generated.machine_files(spark.createDataFrame(rows, FILES), branches, repos).collect()}
+    assert got == set(theirs)
+    # A notice in most files of a repository is its people's, whoever they are.
+    rows = [(f"o{i}", "b2", f"pkg/m{i}.py", (None, None, None, f"# Copyright 2021 The Quiet Team\nx{i} = {i}")) for i in range(6)]
+    assert generated.machine_files(spark.createDataFrame(rows, FILES)).count() == 0
+
+
 # ---- 4 ----
 
 SECRET_LINES = [
