@@ -7,11 +7,14 @@ documents; every window of every document is scored and a document has the score
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import toxic_seeds
-from codeloom.session import table
+from codeloom.session import shared_dir, table
 
 #: Labelled documents that are used at most, by the order of a hash of their id.
 LABELLED_DOCS = 3000
 #: Windows of harmless labelled documents that the network is trained on at most, taken at random with a fixed seed.
 HARMLESS_WINDOWS = 6000
+#: Of all windows of harmless labelled documents, the most alarming that it is trained on again at most.
+HARD_WINDOWS = 1500
 WINDOW, STRIDE = 16, 8
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 WORDS, TRIGRAMS, EMBED, HIDDEN = 8192, 4096, 32, 24
 EPOCHS = 6
 
@@ -43,23 +48,45 @@ _TAG = re.compile(
     re.I,
 )
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._\-*])(?:[^\W_]\1)+[^\W_](?![^\W_])")
+#: Three single letters with the same sign between, which any spread word has.
+_MAY_BE_SPACED = re.compile(r"[^\W_]([ ._\-*])[^\W_]\1[^\W_]")
 _MIXED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[$@0-9!|*])[\w$@!|*]+(?!\S)")
 _STRETCH = re.compile(r"(.)\1{2,}")
 
 
+def _chunk_tokens(chunk: str) -> tuple[str, ...]:
+    """Words of what stands between two spaces."""
+    t = re.sub(r"https?://", " codeid ", chunk)
+    # All capitals are shouting, not identifiers.
+    t = _CODE.sub(lambda m: m[0] if m[0].isupper() and "/" not in m[0] and "_" not in m[0] else " codeid " + re.sub(r"[\W_]+", " ", m[0]) + " ", t)
+    t = _MIXED.sub(lambda m: m[0].rstrip("!").translate(_LEET) if not m[0].rstrip("!.,;:").isdigit() else " ", t)
+    t = re.sub(r"(?<=[^\W\d_])[*](?=[^\W\d_])", "", t)
+    return tuple(_STRETCH.sub(r"\1", w) if not w.isdigit() else "0" for w in _TOKEN.findall(t.lower()))
+
+
+#: Words of chunks seen lately; a text of any length is read whole, chunk by chunk.
+_SEEN: dict[str, tuple[str, ...]] = {}
+
+
 def tokens(text: str) -> list[str]:
     """Lower-case words of a text, with disguises undone: look-alike letters, hidden characters, spread letters, signs for letters.
 
     Before a path's or an identifier's words stands a token that says so. Words are split at separators, not at capitals, which may be a disguise.
     """
-    t = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text)).translate(_LOOKALIKE)
-    t = _SPACED.sub(lambda m: re.sub(r"[ ._\-*]", "", m[0]), t)
-    t = re.sub(r"https?://", " codeid ", _TAG.sub(" ", t))
-    # All capitals are shouting, not identifiers.
-    t = _CODE.sub(lambda m: m[0] if m[0].isupper() and "/" not in m[0] and "_" not in m[0] else " codeid " + re.sub(r"[\W_]+", " ", m[0]) + " ", t)
-    t = _MIXED.sub(lambda m: m[0].rstrip("!").translate(_LEET) if not m[0].rstrip("!.,;:").isdigit() else " ", t)
-    t = re.sub(r"(?<=[^\W\d_])[*](?=[^\W\d_])", "", t)
-    return [_STRETCH.sub(r"\1", w) if not w.isdigit() else "0" for w in _TOKEN.findall(t.lower())]
+    t = text if text.isascii() else _ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text)).translate(_LOOKALIKE)
+    if _MAY_BE_SPACED.search(t):
+        t = _SPACED.sub(lambda m: re.sub(r"[ ._\-*]", "", m[0]), t)
+    if "<" in t or "-->" in t:
+        t = _TAG.sub(" ", t)
+    if len(_SEEN) > 200_000:
+        _SEEN.clear()
+    out: list[str] = []
+    for c in t.split():
+        words = _SEEN.get(c)
+        if words is None:
+            words = _SEEN[c] = _chunk_tokens(c)
+        out += words
+    return out
 
 
 def windows(words: list[str], size: int = WINDOW, stride: int = STRIDE) -> list[list[str]]:
@@ -70,6 +97,7 @@ def windows(words: list[str], size: int = WINDOW, stride: int = STRIDE) -> list[
     return [words[a : a + size] for a in starts]
 
 
+@lru_cache(maxsize=200_000)
 def _hashed(word: str) -> tuple[int, list[int]]:
     w = f"<{word}>"
     return zlib.crc32(word.encode()) % WORDS, [zlib.crc32(b"t" + w[i : i + 3].encode()) % TRIGRAMS for i in range(len(w) - 2)]
@@ -134,6 +162,39 @@ class Network:
         y = _sigmoid(pooled @ p["o"] + p["k"])
         return (y, (hs, e, w, pooled, saved)) if keep else y
 
+    def infer(self, x, idx):
+        """The same probabilities as ``forward``, with fewer passes over memory: time comes first, and a sigmoid is a hyperbolic tangent of half its argument."""
+        n, t = idx.shape
+        at, h2, p = np.ascontiguousarray(idx.T), 2 * HIDDEN, self.p
+        mask = (at > 0).astype(np.float32)[:, :, None]
+        full = bool(mask.all())
+        hs = np.empty((t, n, h2), np.float32)
+        half = np.concatenate([np.full(h2, 0.5, np.float32), np.ones(HIDDEN, np.float32)])
+        for d, lane, steps in (("f", slice(0, HIDDEN), range(t)), ("b", slice(HIDDEN, h2), range(t - 1, -1, -1))):
+            proj, u_d = (x @ p[f"W{d}"] + p[f"c{d}"]) * half, p[f"U{d}"] * half
+            h = np.zeros((n, HIDDEN), np.float32)
+            for s in steps:
+                a, u = proj[at[s]], h @ u_d
+                g = a[:, :h2] + u[:, :h2]
+                np.tanh(g, out=g)
+                g += 1
+                g *= 0.5
+                c = g[:, HIDDEN:] * u[:, h2:]
+                c += a[:, h2:]
+                np.tanh(c, out=c)
+                c -= h
+                c *= g[:, :HIDDEN]
+                if not full:
+                    c *= mask[s]
+                h = h + c
+                hs[s, :, lane] = h
+        score = (np.tanh(hs.reshape(-1, h2) @ p["A"]) @ p["v"]).reshape(t, n)
+        if not full:
+            score += (mask[:, :, 0] - 1) * 1e4
+        w = np.exp(score - score.max(0))
+        w /= w.sum(0)
+        return _sigmoid(np.einsum("tn,tnh->nh", w, hs) @ p["o"] + p["k"])
+
     def gradients(self, x, idx, y, weight):
         """Gradients of the weighted cross entropy, with those of the word vectors under 'x'."""
         p = self.p
@@ -180,21 +241,35 @@ def _indexed(batch: list[list[str]]) -> tuple[list[str], np.ndarray]:
     return list(vocab), idx
 
 
-def predict(net: Network, batch: list[list[str]], size: int = 4096) -> np.ndarray:
-    out = []
-    for a in range(0, len(batch), size):
-        vocab, idx = _indexed(batch[a : a + size])
-        x, _ = net.embed(vocab)
-        out.append(net.forward(x, idx))
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
+def predict(net: Network, batch: list[list[str]], size: int = 1024) -> np.ndarray:
+    """Probabilities of windows; equal windows are scored once, words are embedded once for all."""
+    if not batch:
+        return np.zeros(0, np.float32)
+    place: dict[tuple[str, ...], int] = {}
+    at = [place.setdefault(tuple(w[:WINDOW]), len(place)) for w in batch]
+    vocab, idx = _indexed(list(place))
+    x, _ = net.embed(vocab)
+    return np.concatenate([net.infer(x, idx[a : a + size]) for a in range(0, len(idx), size)])[at]
 
 
 def fit(data: list[tuple[list[str], float]], epochs: int = EPOCHS, seed: int = 7, batch: int = 128, rate: float = 4e-3, net: Network | None = None) -> Network:
-    """Trains by Adam; word and trigram vectors get gradients where they were used."""
+    """Trains by Adam; of the word and trigram vectors, only the rows that a batch uses are changed."""
     net, rng = net or Network(seed), random.Random(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
+
+    def move(k: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        m[k][rows] = 0.9 * m[k][rows] + 0.1 * g
+        s[k][rows] = 0.999 * s[k][rows] + 0.001 * g * g
+        net.p[k][rows] -= (rate * (m[k][rows] / (1 - 0.9**step)) / (np.sqrt(s[k][rows] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+
+    def summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, inverse = np.unique(at, return_inverse=True)
+        out = np.zeros((len(rows), g.shape[1]), np.float32)
+        np.add.at(out, inverse, g)
+        return out, rows
+
     for _ in range(epochs):
         rng.shuffle(data)
         for a in range(0, len(data), batch):
@@ -204,14 +279,11 @@ def fit(data: list[tuple[list[str], float]], epochs: int = EPOCHS, seed: int = 7
             y = np.array([v for _, v in part], np.float32)
             g = net.gradients(x, idx, y, np.ones_like(y))
             dx = g.pop("x")[1:]
-            g["Ew"], g["Ec"] = np.zeros_like(net.p["Ew"]), np.zeros_like(net.p["Ec"])
-            np.add.at(g["Ew"], words, dx)
-            np.add.at(g["Ec"], flat, (dx / count)[owner])
             step += 1
             for k, v in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * v
-                s[k] = 0.999 * s[k] + 0.001 * v * v
-                net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                move(k, v)
+            move("Ew", *summed(words, dx))
+            move("Ec", *summed(flat, (dx / count)[owner]))
     return net
 
 
@@ -219,10 +291,10 @@ def seed_phrases(rng: random.Random, per_frame: int = 5) -> list[list[str]]:
     """Harmful phrases from the frames, with their slots filled at random."""
     out = []
     for lang, frames in toxic_seeds.HARMFUL.items():
+        slots = toxic_seeds.SLOTS[lang]
         for f in frames:
             for _ in range(per_frame if "{" in f else 2 if lang == "en" else 3):
-                filled = f.format(a=rng.choice(toxic_seeds.ADJECTIVES_EN), n=rng.choice(toxic_seeds.NOUNS_EN), g=rng.choice(toxic_seeds.GROUPS_EN)) if "{" in f else f
-                out.append(tokens(filled.replace("_", " ")))
+                out.append(tokens(f.format(**{k: rng.choice(v).replace("_", " ") for k, v in slots.items()})))
     return out
 
 
@@ -230,12 +302,12 @@ def train(labelled: list[tuple[str, int]], seed: int = 7) -> Network:
     """A network from labelled texts (some labels are wrong) and the seed phrases.
 
     First it learns from seeds among harmless windows. Then a harmful document's worst window, if it looks harmful at all, joins the harmful
-    ones, and windows of harmless documents that look clearly harmful are taken for label errors and left out.
+    ones, and the windows of all harmless documents that look most harmful join the harmless ones.
     """
     rng = random.Random(seed)
-    clean = [w for t, y in labelled if not y for w in windows(tokens(t))]
-    rng.shuffle(clean)
-    clean = clean[:HARMLESS_WINDOWS]
+    every = [w for t, y in labelled if not y for w in windows(tokens(t))]
+    rng.shuffle(every)
+    clean = every[:HARMLESS_WINDOWS]
     harmful = seed_phrases(rng)
     harmless = [tokens(x) for x in toxic_seeds.HARMLESS]
 
@@ -260,8 +332,10 @@ def train(labelled: list[tuple[str, int]], seed: int = 7) -> Network:
 
     net = fit(sets(harmful, clean), EPOCHS, seed)
     if labelled:
-        score = predict(net, clean)
-        kept = [w for w, p in zip(clean, score) if p < 0.8]
+        # A label that calls a harmful text harmless is rare, so what alarms there falsely is learnt from; what alarms most may be such a label and counts once.
+        score = predict(net, every)
+        order = np.argsort(-score)[:HARD_WINDOWS]
+        hard = [every[i] for i in order if score[i] > 0.02 for _ in range(1 if score[i] > 0.98 else 3)]
         found = []
         for t, y in labelled:
             if y:
@@ -270,13 +344,13 @@ def train(labelled: list[tuple[str, int]], seed: int = 7) -> Network:
                     p = predict(net, ws)
                     if p.max() > 0.3:
                         found.append(ws[int(p.argmax())])
-        net = fit(sets(harmful, kept) + [(w, 1.0) for w in found for _ in range(2)], EPOCHS, seed + 1)
+        net = fit(sets(harmful, clean + hard) + [(w, 1.0) for w in found for _ in range(2)], EPOCHS, seed + 1)
     return net
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS) -> list[tuple[str, int]]:
-    """Up to ``limit`` labelled texts with the larger of their labels; null and empty texts are left out."""
-    per_doc = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
+    """Up to ``limit`` labelled texts with their label; documents whose labels disagree, null and empty texts are left out."""
+    per_doc = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where((F.col("toxic") > 0) == (F.col("least") > 0))
     rows = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).join(documents.select("doc_id", "text"), "doc_id").where(F.length(F.trim("text")) > 0)
     return sorted((r["text"], int(r["toxic"] > 0)) for r in rows.select("text", "toxic").distinct().collect())
 
@@ -314,9 +388,23 @@ def score_documents(documents: DataFrame, net: Network) -> DataFrame:
     return rows.mapInPandas(scored, SCORE_SCHEMA)
 
 
+def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Network:
+    """The network for these labels: fitted once and stored in the shared folder under a hash of all it depends on, then loaded."""
+    labelled = labelled_sample(documents, labels)
+    made_of = [labelled, toxic_seeds.SLOTS, toxic_seeds.HARMFUL, toxic_seeds.HARMLESS, WINDOW, STRIDE, WORDS, TRIGRAMS, EMBED, HIDDEN, EPOCHS, HARMLESS_WINDOWS, HARD_WINDOWS]
+    at = f"{shared_dir(spark)}/abuse-model-{hashlib.sha256(json.dumps(made_of).encode()).hexdigest()[:32]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        rows = [(k, [int(n) for n in v.shape], bytearray(v.astype(np.float32).tobytes())) for k, v in train(labelled).p.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, value binary").coalesce(1).write.mode("overwrite").parquet(at)
+    net = Network.__new__(Network)
+    net.p = {r["name"]: np.frombuffer(bytes(r["value"]), np.float32).reshape(r["shape"]) for r in spark.read.parquet(at).collect()}
+    return net
+
+
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")
-    return score_documents(documents, train(labelled_sample(documents, labels)))
+    return score_documents(documents, fitted(spark, documents, labels))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

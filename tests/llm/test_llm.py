@@ -439,6 +439,25 @@ def test_held_out_phrases():
     assert [t for t in bad if worst(t) < 0.5] == [] and [t for t in good if worst(t) >= 0.5] == []
 
 
+def test_inference_equals_the_trained_pass():
+    net = toxic.Network(3)
+    vocab, idx = toxic._indexed([["a", "bc", "def"] * 9, ["x"], ["bc"] * 5])
+    x, _ = net.embed(vocab)
+    assert abs(net.infer(x, idx) - net.forward(x, idx)).max() < 1e-5
+    full = idx[:1]
+    assert abs(net.infer(x, full) - net.forward(x, full)).max() < 1e-5
+
+
+def test_model_is_fitted_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["we rename this function", "you pathetic moron", None])], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 1), (2, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxic, "EPOCHS", 1)
+    a = toxic.fitted(spark, docs, labels)
+    monkeypatch.setattr(toxic, "train", lambda *x: 1 / 0)
+    b = toxic.fitted(spark, docs, labels)
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
 def test_tokens_keep_every_word():
     for text in ("you iDiOt", "mOrOn here", "you moron/idiot", "kill_yourself now", "an idiot.You know", "a < b, you idiot > c", "<you idiot>"):
         got = toxic.tokens(text)
