@@ -50,7 +50,7 @@ _T0 = r"(?:N?[ph]A)*[KP]*(?:[nsdozphaQ]|P|\+d)[aQ]*"
 _TY = rf"[|&]?{_T0}(?:[|&]{_T0})*"
 _REWRITE = {
     "javascript": _rules(
-        (r"Z?f\*?n?[ph]B", "n"), (rf"(?<=[nsdphaQoz])[.U](?:{_NAME}|[pha])", ""), (r"(?<=[npas])[phas](?![A])", ""), (r"(?<=d)[p]", ""), (r"Cn?(?:xn)?[oz]", "n"), (r"m[p](?=.?)|m\.n", "n"),
+        (r"Z?f\*?n?[ph]B", "n"), (r"(?<=[nsdphaQoz])[.U](?:[nC]|[pha])", ""), (r"(?<=[npas])[phas](?![A])", ""), (r"(?<=d)[p]", ""), (r"Cn?(?:xn)?[oz]", "n"), (r"m[p](?=.?)|m\.n", "n"),
         (r"([np])I", "n"), (r"(?<![nsdphaQoz])(?:[!+PNI]|P\*)(?=[nsdphaQoz])", ""), (r"N(?=n)", ""),
         (r"(?<![.U])[nsdpaQoz](?:[b+*<q|&]|>{1,3})[nsdpaQoz](?![.UphaI])", "n"), (r"[nsdpaQoz]\?[nsdpaQoz]:[nsdpaQoz](?![.Upha?b+*<q|&>])", "n"),
         (r"Z?[nph]A(?:B|[nsdpaQoz])(?![.Uphab+*<q|&>?=E])", "n"), (r"[npaoz][=E][nsdpaQoz](?![.Uphab+*<q|&>?=EA])", "n"), (r"(?<=[,(^\[])R(?=[nsdpaQoz])|^R(?=[nsdpaQoz])", ""),
@@ -228,34 +228,144 @@ def holds(lang: str, ctx: str, kinds: str) -> bool:
 
 # ---- adjacency ----
 
-#: Letters that begin and end an operand, operators between operands, operators before one.
-_BEGINS, _ENDS, _BETWEEN, _BEFORE = set("nsdphaQozZguLwKefCNPm!+I*&RYHMjTQJvSA@<"), set("nsdphaQozBIZguLwKeVYDC"), set("=Ebq~A?:,;.U|&<>*+kM@R"), set("!+NPIR*&A,=Eb(;:?q~<>|@")
+#: What ``holds`` takes away or puts in before it rewrites, by language and context ('' for all): the same patterns, for the derivation of pairs. A text that is
+#: taken away is named with the letters it stands behind (post) or before (pre).
+_OPERANDS = "nsdphaQoz"
+_TAKEN = {
+    "javascript": [("", "name", "[ZguLwKe]", ""), ("o", "pre", rf"(?:[gZ]|\*)*(?:{_NAME}|[sda])[ph]B|(?:{_NAME}|[sda]):|R", ""), ("p", "pre", "R", ""), ("a", "pre", "R", ""), ("F", "pair", r"[nao]e[nsdpaQoz]", ""), ("C", "pair", r"=n", "")],
+    "java": [("", "pre", r"@n(?:\.n)*[ph]?", _OPERANDS + "gYCJw@"), ("", "post", r"<[nY?,xQ.&]*>", "nw"), ("", "post", r"\.n", "n"), ("", "name", "[w]", ""), ("", "pair", r"g*[nY](?:\.n)*Q*nQ*=[nozsdp]", ""), ("", "pair", r"g<n", ""), ("", "pair", r"g@n|@nC", "")],
+    "go": [],
+    "python": [],
+    "json": [],
+}
+_TAKEN["typescript"] = _TAKEN["javascript"] + [
+    ("", "post", r"<[nsdoazQ,|&KP.?:xhpAv+=w]*>", "nZguLwKe"), ("", "post", rf":(?:[nuw]K)?{_TY}", "ph"), ("", "post", rf":{_TY}", "naoz"), ("", "pre", r"@n(?:\.n)*[ph]?", ""),
+    ("p", "pair", rf"g*(?:R?[nZguLwKeoa])\??:{_TY}[,=]?", ""), ("a", "pair", rf"g*(?:R?[nZguLwKeoa])\??:{_TY}[,=]?", ""), ("p", "post", r"\?", "nZguLwKe"), ("p", "pre", "g", ""), ("", "post", "[!?]", "nao"),
+]
 
 
-@lru_cache(maxsize=1)
-def permissible_pairs() -> list[tuple[str, str]]:
-    """(language, pair): letters that may stand side by side in some production.
+class _Ends:
+    """What a pattern can begin and end with, whether it can be empty, and which letters can stand side by side in it."""
+
+    def __init__(self, empty: bool, first: frozenset, last: frozenset):
+        self.empty, self.first, self.last = empty, first, last
+
+
+def _letters_of(items) -> frozenset:
+    from re import _constants as c
+
+    out = set()
+    for op, v in items:
+        if op is c.LITERAL:
+            out.add(chr(v))
+        elif op is c.RANGE:
+            out |= {chr(x) for x in range(v[0], v[1] + 1)}
+    return frozenset(out)
+
+
+def _walk(parsed, pairs: set) -> _Ends:
+    """The ends of a parsed pattern; adjacent letters are added to ``pairs``. Conditions that look around are empty."""
+    from re import _constants as c
+
+    whole = _Ends(True, frozenset(), frozenset())
+    for op, v in parsed:
+        if op is c.LITERAL:
+            e = _Ends(False, frozenset(chr(v)), frozenset(chr(v)))
+        elif op is c.IN:
+            x = _letters_of(v)
+            e = _Ends(False, x, x)
+        elif op in (c.ANY, c.GROUPREF):
+            e = _Ends(False, frozenset("n"), frozenset("n"))
+        elif op is c.BRANCH:
+            parts = [_walk(x, pairs) for x in v[1]]
+            e = _Ends(any(x.empty for x in parts), frozenset().union(*[x.first for x in parts]), frozenset().union(*[x.last for x in parts]))
+        elif op is c.SUBPATTERN:
+            e = _walk(v[3], pairs)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+            least, most, body = v
+            e = _walk(body, pairs)
+            if most > 1:
+                pairs |= {(x, y) for x in e.last for y in e.first}
+            e = _Ends(e.empty or least == 0, e.first, e.last)
+        else:
+            continue
+        pairs |= {(x, y) for x in whole.last for y in e.first}
+        whole = _Ends(whole.empty and e.empty, whole.first | e.first if whole.empty else whole.first, whole.last | e.last if e.empty else e.last)
+    return whole
+
+
+def _around(parsed) -> tuple[frozenset, frozenset]:
+    """The letters that the conditions of a pattern ask for behind and before it."""
+    from re import _constants as c
 
-    Derived from the letters' roles: what lies between operands is followed by what begins one, what ends an
-    operand is followed by an operator, a bracket, a block or, for words, by another word. A few thousand rows, fixed by the grammars.
+    behind, before = set(), set()
+    for op, v in parsed:
+        if op is c.ASSERT:
+            e = _walk(v[1], set())
+            (behind if v[0] < 0 else before).update(e.last if v[0] < 0 else e.first)
+        elif op is c.SUBPATTERN:
+            x, y = _around(v[3])
+            behind |= x
+            before |= y
+    return frozenset(behind), frozenset(before)
+
+
+def _derived(lang: str, ctx: str) -> set[str]:
+    """The pairs that a language's productions permit in a context.
+
+    Of the context's form and of every rewriting rule, the letters that may stand side by side are read off its pattern. An operand may begin with what a rule that makes one begins
+    with, and end with what such a rule ends with; what a rule takes away lengthens the operand it stands by. A pair of operands in a production thus stands for every end of the one
+    beside every beginning of the other.
     """
-    out = []
-    for lang in FORMS:
-        letters = set("nsdphaQozBEb+!*<>&|,;:?.@AIRUM~=kq") | set(KEYWORDS[lang].values())
-        if lang == "go":
-            letters |= set("LT")
-        if lang == "json":
-            letters = set("nsdoazQ,:")
-        hard = set("=Ebq~?,:;") if lang != "python" else set("=E~")
-        for a in letters:
-            for b in letters:
-                if a in hard and b in hard and (a, b) not in {(":", ":"), (",", ","), ("?", ":"), (":", ","), (",", ":"), (";", ";"), ("?", ","), (":", "="), ("?", "="), (":", ";"), (",", ";"), ("q", "="), ("~", ";"), (",", "?"), (":", "?"), ("=", "?")} and not (a == "q" and b == "q"):
-                    continue
-                if a in "sd" and b in "nd" and lang in ("javascript", "java", "json", "python"):
-                    continue
-                if lang == "json" and not ((a in ",:") != (b in ",:")):
-                    continue
-                if a == "n" and b in "sd" and lang in ("java", "python", "json"):
-                    continue
-                out.append((lang, a + b))
-    return out
+    parse = re._parser.parse
+    base: set = set()
+    begins: dict[str, set] = {}
+    ends: dict[str, set] = {}
+
+    def more(of: dict[str, set], key: str, letters) -> None:
+        of.setdefault(key, {key}).update(letters)
+
+    def takes(kind: str, e: _Ends, by: frozenset) -> None:
+        for x in by:
+            if kind == "post":
+                more(ends, x, e.last)
+                base.update((x, y) for y in e.first)
+            else:
+                more(begins, x, e.first)
+                base.update((y, x) for y in e.last)
+
+    for rx, to in _REWRITE.get(lang, ()):
+        parsed = parse(rx.pattern)
+        e = _walk(parsed, base)
+        made = to[-1:].replace("1", "n")
+        if made:
+            more(begins, made, e.first)
+            more(ends, made, e.last)
+            continue
+        behind, before = _around(parsed)
+        if behind:
+            takes("post", e, behind)
+        if before or not behind:
+            takes("pre", e, before or frozenset(_OPERANDS))
+    for where, kind, pattern, by in _TAKEN[lang]:
+        if where not in ("", ctx):
+            continue
+        e = _walk(parse(pattern), base)
+        if kind == "name":
+            more(begins, "n", e.first)
+            more(ends, "n", e.last)
+        elif kind != "pair":
+            takes(kind, e, frozenset(by or _OPERANDS))
+    for of in (begins, ends):
+        while any([len(v) < len(v.update(*[of.get(x, ()) for x in list(v)]) or v) for v in of.values()]):
+            pass
+    _walk(parse(_forms()[lang, ctx].pattern), base)
+    if ctx in ("s", "w") and lang in _SPECIAL:
+        _walk(parse(_SPECIAL[lang].pattern), base)
+    return {x + y for a, b in base for x in ends.get(a, {a}) for y in begins.get(b, {b})}
+
+
+@lru_cache(maxsize=1)
+def permissible_pairs() -> list[tuple[str, str, str]]:
+    """(language, context, pair): letters that may stand side by side in some production of the context; fixed by the grammars."""
+    return [(lang, ctx, pair) for lang, ctx in sorted(_forms()) for pair in sorted(_derived(lang, ctx))]
