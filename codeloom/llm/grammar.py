@@ -27,7 +27,7 @@ KEYWORDS = {
                          "public": "g", "private": "g", "protected": "g", "abstract": "g", "override": "g", "satisfies": "L"},
     "java": {"class": "C", "interface": "C", "enum": "J", "record": "w", "yield": "e", "package": "K", "import": "m", "if": "i", "else": "l", "for": "F", "while": "W", "do": "O", "switch": "S",
              "case": "c", "default": "D", "return": "r", "throw": "t", "try": "T", "catch": "k", "finally": "y", "new": "N", "instanceof": "q", "break": "V", "continue": "V", "assert": "X",
-             "extends": "x", "implements": "x", "throws": "x", "permits": "x", "synchronized": "g", "goto": "x", "const": "G"}
+             "extends": "x", "implements": "x", "throws": "x", "permits": "x", "synchronized": "g", "sealed": "g", "goto": "x", "const": "G"}
     | dict.fromkeys("public private protected static final abstract native transient volatile strictfp".split(), "g")
     | dict.fromkeys("int long short byte char boolean float double void".split(), "Y"),
     "go": {"package": "K", "import": "m", "func": "f", "var": "v", "const": "v", "type": "w", "if": "i", "else": "l", "for": "F", "switch": "S", "select": "S", "case": "c",
@@ -46,18 +46,20 @@ def _rules(*pairs: tuple[str, str]) -> list[tuple[re.Pattern, str]]:
     return [(re.compile(a), b) for a, b in pairs]
 
 
-_T0 = r"(?:N?[ph]A)*[KP]*(?:[nsdozphaQ]|P|\+d)[aQ]*"
-_TY = rf"[|&]?{_T0}(?:[|&]{_T0})*"
+_T0 = r"(?:N?[ph]A)*[KP]*(?:[nsdozphaQ]|P|mp|\+d)[aQ]*"
+_T1 = rf"[|&]?{_T0}(?:[|&]{_T0})*"
+#: A type, with conditions.
+_TY = rf"(?:{_T1}x{_T1}\?{_T1}:)*{_T1}"
 _REWRITE = {
     "javascript": _rules(
-        (r"Z?f\*?n?[ph]B", "n"), (r"(?<=[nsdphaQoz])[.U](?:[nC]|[pha])", ""), (r"(?<=[npas])[phas](?![A])", ""), (r"(?<=d)[p]", ""), (r"Cn?(?:xn)?[oz]", "n"), (r"m[p](?=.?)|m\.n", "n"),
+        (r"Z?f\*?n?[ph]B", "n"), (r"(?<=[nsdphaQoz])[.U](?:[nC]|[pha])", ""), (r"(?<=[npas])[phas](?![A])", ""), (r"(?<=d)[p]", ""), (r"Cn?(?:xn)?[oz]", "n"), (r"m[p](?=.?)|[mN]\.n", "n"),
         (r"([np])I", "n"), (r"(?<![nsdphaQoz])(?:[!+PNI]|P\*)(?=[nsdphaQoz])", ""), (r"N(?=n)", ""),
         (r"(?<![.U])[nsdpaQoz](?:[b+*<q|&]|>{1,3})[nsdpaQoz](?![.UphaI])", "n"), (r"[nsdpaQoz]\?[nsdpaQoz]:[nsdpaQoz](?![.Upha?b+*<q|&>])", "n"),
         (r"Z?[nph]A(?:B|[nsdpaQoz])(?![.Uphab+*<q|&>?=E])", "n"), (r"[npaoz][=E][nsdpaQoz](?![.Uphab+*<q|&>?=EA])", "n"), (r"(?<=[,(^\[])R(?=[nsdpaQoz])|^R(?=[nsdpaQoz])", ""),
         (r"[nsdpaQoz],[nsdpaQoz](?![.Uphab+*<q|&>?=EA:])", "n"),
     ),
     "java": _rules(
-        (r"n<[nY?,xQ.&]*>", "n"), (r"(?<=[nsdphaQY])\.(?:n|C|N(?=n))", ""), (r"N[nY](?:[ph][oz]?|a+Q*|Q+[oz])", "n"), (r"(?<=[nps])[pha](?!A)", ""), (r"Sp[oz](?=[;,)]|$)", "n"),
+        (r"n<[nY?,xQ.&]*>", "n"), (r"[nY]Q*\.C", "n"), (r"(?<=[nsdphaQY])\.(?:n|C|N(?=n))", ""), (r"N[nY](?:[ph][oz]?|a+Q*|Q+[oz])", "n"), (r"(?<=[nps])[pha](?!A)", ""), (r"Sp[oz](?=[;,)]|$)", "n"),
         (r"[nspYQ]+M[nN]", "n"), (r"(?<![nsdphaQoz])[!+I](?=[nsdp])", ""), (r"([np])I", "n"), (r"(?<![nsdphaQYilFWSkT])p(?=[nsdp])(?!p?A)", ""), (r"pn(?=[;,=b+*<>?:|&q]|$)(?<!ipn)(?<!Wpn)(?<!Fpn)", "n"),
         (r"(?<![.])[nsdp](?:[b+*|&]|<{1,2}|>{1,3})[nsdp](?![.phaMI])", "n"), (r"[nsdp]q(?:g?[nY]Q*n?p?)", "n"), (r"[nsdp]\?[nsdp]:[nsdp](?![.phab+*|&<>?q])", "n"),
         (r"[nph]A(?:B|[nsdp])(?![.phab+*|&<>?=E])", "n"), (r"n[=E](?:[nsdp]|[oz])(?![.phab+*|&<>?=EAM])", "n"), (r"(?<![.])[nsdp],[nsdp](?![.phab+*|&<>?=EAMn])", "n"),
@@ -72,14 +74,14 @@ _REWRITE = {
         (r"Y(?:[*k]?n(?:=[nsdphaQoz])?(?:,[*k]?n(?:=[nsdphaQoz])?)*)?:[nsdphaQoz](?![.phab+*kq<>|&@i])", "n"), (r"n~[nsdphaQoz](?![.phab+*kq<>|&@i])", "n"),
     ),
 }
-_REWRITE["typescript"] = _rules((r"(?<=n)!(?=[.,;)=ph]|$)", ""), (r"(?<=[nZguw])<[nsdoazQ,|&KP.?:xhpAv+]*>", ""), (rf"(?<=[nsdpaozQ])L(?:v|{_TY})", ""), (rf"(?<=[ph]):(?:nK)?{_TY}(?=[BA;]|$)", "")) + _REWRITE["javascript"]
+_REWRITE["typescript"] = _rules((r"(?<=n)!(?=[.,;)=ph]|$)", ""), (r"(?<=[nZguw])<[nsdoazQ,|&KP.?:xhpAv+]*>", ""), (rf"(?<=[nsdpaozQ])L(?:v|{_TY})", ""), (rf"(?<=[ph]):K?(?:nK)?{_TY}(?=[BA;]|$)", "")) + _REWRITE["javascript"]
 
 _JS_FORMS = {
-    "s": rf";|(?:l?ip|l|FP?p|Wp|n:)*(?:B|;|{_OP};?|r(?:{_OP})?;?|t{_OP};?|Vn?;?|Sp[ozB]|OB|OB?Wp;?)|TB|kp?B|yB|v{_OP};?|X(?:D?{_OP}|v{_OP});?",
+    "s": rf";|(?:l?ip|l|FP?p|Wp|O|n:)*(?:B|;|{_OP};?|r(?:{_OP})?;?|t{_OP};?|Vn?;?|Sp[ozB]|OB|OB?Wp;?)|TB|kp?B|yB|v{_OP};?|X(?:D?{_OP}|v{_OP});?",
     "c": _OP, "p": rf"(?:{_OP})?,?", "a": rf"(?:(?:{_OP})?,)*(?:{_OP})?", "o": rf"(?:{_OP})?,?", "F": rf"v?{_OP}|(?:v?{_OP})?;(?:{_OP})?;(?:{_OP})?",
     "M": rf"w?{_NAME}(?:L{_NAME})?(?:,w?{_NAME}(?:L{_NAME})?)*,?",
     "C": rf";|gB|[gZ*wK]*(?:{_NAME}|[sda])[?!]?(?:[;,]?|[ph](?:B|;)?)",
-    "j": rf"[gK]*(?:{_NAME}|[sda])\??:{_TY}[;,]?|(?:{_NAME})?\??[ph](?::{_TY})?[;,]?|N[ph](?::{_TY})?[;,]?|;",
+    "j": rf"[gK]*(?:{_NAME}|[sda])\??:{_TY}[;,]?|g?(?:{_NAME})?\??[ph](?::{_TY})?[;,]?|N[ph](?::{_TY})?[;,]?|;",
     "J": r"[ns](?:=[nsdp])?(?:,[ns](?:=[nsdp])?)*,?",
 }
 _GO_TY = r"(?:\*|Q|a|Ma|R?HR?)*(?:n(?:\.n)?a?|C[oz]|j[oz]|f[ph](?:[*Qa]*n(?:\.n)?|p)?)"
@@ -91,9 +93,9 @@ FORMS = {
     "typescript": _JS_FORMS | {"o": rf"(?:{_OP})?,?|(?:[gK]*(?:{_NAME}|[sda])\??:{_TY}[;,]?|(?:{_NAME})?\??[ph](?::{_TY})?[;,]?|a:{_TY}[;,]?)+", "a": _JS_FORMS["a"] + rf"|(?:R?(?:n\??:)?{_TY})(?:,R?(?:n\??:)?{_TY})*,?|nq{_TY}",
                                "p": _JS_FORMS["p"] + rf"|{_TY}"},
     "java": {
-        "t": r"Kn;|mg?n(?:\.\*)?;|;|[gw]*@?[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?",
-        "s": rf";|(?:l?ip|l|Fp|Wp|n:)*(?:B|;|{_V};|r(?:{_V})?;|t{_V};|Vn?;|Sp[ozB]|OB|gpB|X{_V}(?::{_V})?;|[we]{_V};)|Tp?B|kpB|yB|g*[nY]Q*n(?:Q*)(?:,n)*;|[gw]*[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?|Wp;",
-        "C": r";|g?B|[gD]*(?:[nY]Q*)?n[ph]Q*(?:xn(?:,n)*)?(?:B|;|D[ns];)|g*[nY]Q*nQ*(?:,n)*;|[gw]*@?[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?|n[ph]?[oz]?(?:,n[ph]?[oz]?)*,?;?",
+        "t": r"Kn;|mg?n(?:\.\*)?;|;|(?:g|w|n\+g)*@?[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?",
+        "s": rf";|(?:l?ip|l|Fp|Wp|O|n:)*(?:B|;|{_V};|r(?:{_V})?;|t{_V};|Vn?;|Sp[ozB]|OB|OBWp;|gpB|X{_V}(?::{_V})?;|[we]{_V};)|Tp?B|kpB|yB|g*[nY]Q*n(?:Q*)(?:,n)*;|[gw]*[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?|Wp;",
+        "C": r";|g?B|[gD]*(?:[nY]Q*)?n[ph]Q*(?:xn(?:,n)*)?(?:B|;|D[nsdpoz];)|g*[nY]Q*nQ*(?:,n)*;|[gw]*@?[CJw]n[ph]?(?:xn(?:,n)*)*[oz];?|n[ph]?[oz]?(?:,n[ph]?[oz]?)*,?;?",
         "c": _V, "F": rf"(?:(?:g*[nY]Q*)?{_V}(?:,n)*)?;(?:{_V})?;(?:{_V})?|g*[nY]Q*n:{_V}", "k": r"g*n(?:\|n)*n", "T": rf"(?:g*nn|{_V})(?:;(?:g*nn|{_V}))*;?",
         "p": rf"{_V}|g*[nY]Q*R?nQ*(?:,g*[nY]Q*R?nQ*)*|[nY]Q*(?:&n)*|[oz]", "a": _V, "o": rf"(?:{_V}|[oz])(?:,(?:{_V}|[oz]))*,?",
     },
@@ -103,7 +105,7 @@ FORMS = {
         rf"|F(?:{_V}|(?:{_V}(?:[=E~]{_V})?)?;(?:{_V})?;(?:{_V}(?:[=E]{_V}|I)?)?|(?:{_V}[=~])?e{_V})?B|S(?:(?:{_V}(?:[=~]{_V})?)?;)?(?:{_V}(?:[=~]{_V})?)?[ozB]|g{_V}|r(?:{_V})?|Vn?|B)?;?",
         "C": rf"(?:n(?:,n)*{_GO_TY}|\*?n(?:\.n)?a?)s?;?", "j": rf"(?:n[ph](?:{_GO_TY}|p)?|{_GO_TY}(?:[|b]{_GO_TY})*);?", "m": "[n.]?s;?", "v": rf"n(?:,n)*(?:{_GO_TY})?(?:={_V})?;?", "W": rf"na?=?{_GO_TY};?",
         "p": rf"{_V}L?,?|(?:nL?{_GO_TY}|L?{_GO_TY}|n)(?:,(?:nL?{_GO_TY}|L?{_GO_TY}|n))*,?|w|(?:{_GO_TY}),{_V},?",
-        "a": rf"(?:{_V})?(?::(?:{_V})?){{0,2}}|L|{_GO_TY}(?:,{_GO_TY})*|n(?:,n)*{_GO_TY}(?:,n(?:,n)*{_GO_TY})*", "o": rf"(?:{_V}|[oz])(?:,(?:{_V}|[oz]))*,?",
+        "a": rf"(?:{_V})?(?::(?:{_V})?){{0,2}}|L|{_GO_TY}(?:,{_GO_TY})*|n(?:,n)*!?{_GO_TY}(?:[|]!?{_GO_TY})*(?:,n(?:,n)*!?{_GO_TY}(?:[|]!?{_GO_TY})*)*", "o": rf"(?:{_V}|[oz])(?:,(?:{_V}|[oz]))*,?",
     },
     "python": {
         "s": r"(?:SIMPLE)(?:;(?:SIMPLE))*;?|@V|(?:HEAD):(?:(?:SIMPLE)(?:;(?:SIMPLE))*;?)?".replace(
@@ -117,10 +119,10 @@ FORMS = {
 }
 
 _SPECIAL = {
-    "javascript": re.compile(rf"m(?:s|(?:[nZguLwKe]|[oz]|\*L[nZguLwKe])(?:,(?:[oz]|\*L[nZguLwKe]))?us);?|X(?:[oz](?:us)?|\*(?:L{_NAME})?us);?|XD?Z?f\*?n?[ph]B|XD?Cn?(?:xn)?[oz]"),
+    "javascript": re.compile(rf"m(?:s|(?:[nZguLwKe]|[oz]|\*L[nZguLwKe])(?:,(?:[oz]|\*L[nZguLwKe]))?us(?:no)?);?|X(?:[oz](?:us(?:no)?)?|\*(?:L{_NAME})?us(?:no)?);?|XD?Z?f\*?n?[ph]B|XD?Cn?(?:xn)?[oz]"),
     "typescript": re.compile(
         rf"m(?:s|w?(?:[nZguLwKe]|[oz]|\*L[nZguLwKe])(?:,(?:[oz]|\*L[nZguLwKe]))?us);?|X(?:w?[oz](?:us)?|\*(?:L{_NAME})?us);?|X?D?w*Z?f\*?[nZguw]?[ph](?:B|;)?|X?D?[gw]*C[nguw]?(?:xn(?:p|,n)*)*[oz]"
-        rf"|X?D?w*j[nguw](?:xn(?:,n)*)*[oz]|X?w*v?J[nguw][oz]|X?w*w[nguwL]={_TY};?|X?w+(?:n|s)[ozB]|X=n;?|X?w*v(?:n|[aoz])!?:{_TY};?"
+        rf"|X?D?w*j[nguw](?:xn(?:,n)*)*[oz]|X?w*v?J[nguw][oz]|X?w*w[nguwL]={_TY};?|X?w+(?:n(?:\.n)*|s)[ozB]|X=n;?|X?w*v(?:n|[aoz])!?:{_TY};?|X?w+v{_OP};?"
     ),
 }
 
@@ -133,8 +135,10 @@ def _forms() -> dict[tuple[str, str], re.Pattern]:
             out[lang, ctx] = re.compile(rule)
         if lang == "java":
             out[lang, "J"] = out[lang, "C"]
+            # A record's body may have a constructor without a list of parameters.
+            out[lang, "R"] = re.compile(by["C"] + "|g*nB")
         if "s" in by:
-            label = {"java": r"|c[nsdpY](?:n|p)?(?:,[nsdpD])*[:A](?:B|[nsdp];)?|D[:A](?:B|[nsdp];)?", "go": rf"|c(?:[nsdp](?:[=~]n)?|{_GO_TY}(?:,{_GO_TY})*):|D:"}.get(lang, rf"|c{_OP}:|D:")
+            label = {"java": r"|c[nsdpY](?:n|p)?(?:,[nsdpD])*[:A](?:B|[nsdp];)?|D[:A](?:B|[nsdp];)?", "go": rf"|c(?:[nsdp](?:[=~]n|R[nsdp])?|{_GO_TY}(?:,{_GO_TY})*):|D:"}.get(lang, rf"|c{_OP}:|D:")
             out[lang, "w"] = re.compile(f"(?:{by['s']}){label}")
     return out
 
@@ -153,6 +157,21 @@ def rewrite(lang: str, kinds: str) -> str:
     return kinds
 
 
+#: What may stand before a statement without ending it.
+_HEADS = re.compile(r"(?:l?ip|l|FP?p|Wp|O|n:)+")
+#: A class or function declared without a name, and an expression that is no statement.
+_NAMELESS = re.compile(r"C(?:[oz]|xn[oz])|Z?f\*?[ph]B$")
+_NO_STATEMENT = re.compile(r"(?:l?ip|l|Fp|Wp|O|n:)*[nsd](?:\.n|a|[b+*&|][+!]?[nsd])*;")
+
+
+def _complete(lang: str, ctx: str, form: re.Pattern, t: str) -> bool:
+    """Whether a string rewrites to a form of its context, as a whole or behind the heads of the statements around it."""
+    if form.fullmatch(t) or form.fullmatch(rewrite(lang, t)):
+        return True
+    m = _HEADS.match(t) if ctx in ("s", "w") else None
+    return bool(m and m.end() < len(t) and (form.fullmatch(t[m.end() :]) or form.fullmatch(rewrite(lang, t[m.end() :]))))
+
+
 def holds(lang: str, ctx: str, kinds: str) -> bool:
     """Whether a flat string is a production of its context."""
     form = _forms().get((lang, ctx))
@@ -166,13 +185,21 @@ def holds(lang: str, ctx: str, kinds: str) -> bool:
         return False
     if lang in ("javascript", "typescript"):
         t = kinds
+        if ctx in ("s", "w") and _NAMELESS.match(t):
+            return False
         if lang == "typescript":
             for _ in range(6):
-                t, n = re.subn(r"(?<=[nZguwLKe])<[nsdoazQ,|&KP.?:xhpAv+=w]*>", "", t)
+                t, n = re.subn(r"(?<=[nZguLwKe])<[nsdoazQ,|&KP.?:xhpAv+=w]*>", "", t)
                 if not n:
                     break
-            t = re.sub(rf"(?<=[ph]):(?:[nuw]K)?{_TY}(?=[BA;]|$)", "", t)
-            t = re.sub(rf"^((?:[Xw]*)v[naoz])!?:{_TY}(?==)", r"\1", t)
+            t = re.sub(r"(?:(?<=[=,:?r&|!+b])|^)<[nsdoazQ,|&KP.?:xhpA]*>(?=[nsphao])", "", t)
+            if not t.startswith(("w", "Xw")):
+                t = re.sub(r"(?<=[np])\.n", "", t)
+            t = re.sub(rf"(?<=[ph]):K?(?:[nuw]K)?{_TY}(?=[BA;]|$)", "", t)
+            if re.match("[Xw]*v", t):
+                t = re.sub(rf"([,v][naoz])!?:{_TY}(?=[=,;]|$)", r"\1", t)
+            elif re.match("[Xw]*w[nguwL]=", t):
+                t = re.sub(r"(?<=[np])\.n", "", t)
         t = re.sub(r"@n(?:\.n)*[ph]?", "", t)
         if ctx in ("s", "w") and _SPECIAL[lang].fullmatch(t):
             return True
@@ -193,6 +220,7 @@ def holds(lang: str, ctx: str, kinds: str) -> bool:
                 if form.fullmatch(t):
                     return True
                 t = re.sub(rf"(^|,)g*(R?[nZguLwKeoa])\??:{_TY}(?=[,=]|$)", r"\1\2", t)
+                t = re.sub(r"(^|,)g+(?=R?[nZuLwKeoa])", r"\1", t)
                 t = re.sub(r"(^|,)g*(R?[nZguLwKe])\?(?=[,=]|$)", r"\1\2", t)
             t = re.sub(r"(^|,)R", r"\1", t)
         if ctx == "C":
@@ -202,23 +230,32 @@ def holds(lang: str, ctx: str, kinds: str) -> bool:
             return bool(form.fullmatch(t))
         t = re.sub(r"Z(?!f|[nph]A)", "n", t)
         t = re.sub(r"[guLwKe]" if lang == "javascript" else r"[guwKe]", "n", t)
-        return bool(form.fullmatch(rewrite(lang, t)))
+        return _complete(lang, ctx, form, t)
     if lang == "java":
         t = re.sub(r"@n(?:\.n)*[ph]?(?!C)", "", kinds)
-        if ctx != "t" and not re.search(r"^[gw]*w[n][ph]", t):
+        if ctx != "t" and not re.search(r"^[gw]*wn(?:<.*?>)?[ph]", t):
             t = t.replace("w", "n")
         for _ in range(6):
-            t, n = re.subn(r"(?<=[nw])<[nY?,xQ.&]*>|(?:^|(?<=g))<[nYx,.&]*>", "", t)
+            t, n = re.subn(r"(?<=[nw])<[nY?,xQ.&]*>|(?:^|(?<=[g.M]))<[nYx,.&?Q]*>", "", t)
             if not n:
                 break
         if ctx == "t":
             return bool(form.fullmatch(re.sub(r"(?<=n)\.n", "", t)))
-        if ctx in ("p", "k", "C", "J", "F", "T") and form.fullmatch(re.sub(r"(?<=n)\.n", "", t)):
+        if ctx in ("p", "k", "C", "J", "R", "F", "T") and form.fullmatch(re.sub(r"(?<=n)\.n", "", t)):
             return True
-        m = re.fullmatch(r"(g*[nY](?:\.n)*Q*n)(?:Q*)=(.+);", t) if ctx in ("C", "J", "s", "w") else None
-        if m and re.fullmatch(r"[oz]|[nsdp]", rewrite(lang, m[2])):
+        m = re.fullmatch(r"(g*[nY](?:\.n)*Q*n)(?:Q*)=(.+);", t) if ctx in ("C", "J", "R", "s", "w") else None
+        if m and re.fullmatch(r"[oznsdp](?:,n)*", rewrite(lang, m[2])):
             return True
-        return bool(form.fullmatch(rewrite(lang, t)))
+        m = re.fullmatch(r"(.*[ph]Q*)D(.+);", t) if ctx == "C" else None
+        if m and re.fullmatch(r"[nsdpoz]", rewrite(lang, m[2])):
+            return bool(form.fullmatch(re.sub(r"(?<=n)\.n", "", m[1]) + ";"))
+        if ctx in ("s", "w"):
+            if _NO_STATEMENT.fullmatch(t):
+                return False
+            guard = re.fullmatch(r"c(?:g*[nY](?:\.n)*Q*(?:n|pn?))n(.+?)([:A].*)", t) if ctx == "w" else None
+            if guard and re.fullmatch(r"[nsdp]", rewrite(lang, guard[1])):
+                t = "cn" + guard[2]
+        return _complete(lang, ctx, form, t)
     if lang == "go":
         if form.fullmatch(kinds):
             return True
@@ -233,14 +270,14 @@ def holds(lang: str, ctx: str, kinds: str) -> bool:
 _OPERANDS = "nsdphaQoz"
 _TAKEN = {
     "javascript": [("", "name", "[ZguLwKe]", ""), ("o", "pre", rf"(?:[gZ]|\*)*(?:{_NAME}|[sda])[ph]B|(?:{_NAME}|[sda]):|R", ""), ("p", "pre", "R", ""), ("a", "pre", "R", ""), ("F", "pair", r"[nao]e[nsdpaQoz]", ""), ("C", "pair", r"=n", "")],
-    "java": [("", "pre", r"@n(?:\.n)*[ph]?", _OPERANDS + "gYCJw@"), ("", "post", r"<[nY?,xQ.&]*>", "nw"), ("", "post", r"\.n", "n"), ("", "name", "[w]", ""), ("", "pair", r"g*[nY](?:\.n)*Q*nQ*=[nozsdp]", ""), ("", "pair", r"g<n", ""), ("", "pair", r"g@n|@nC", "")],
+    "java": [("", "pre", r"@n(?:\.n)*[ph]?", _OPERANDS + "gYCJw@"), ("", "post", r"<[nY?,xQ.&]*>", "nw.Mg"), ("C", "pre", r"<[nYx,.&?Q]*>", _OPERANDS + "Y"), ("J", "pre", r"<[nYx,.&?Q]*>", _OPERANDS + "Y"), ("R", "pre", r"<[nYx,.&?Q]*>", _OPERANDS + "Y"), ("w", "pair", r"cg*[nY]Q*(?:n|pn?)n[nsdp]", ""), ("w", "pair", "[nsdp][:A]", ""), ("", "post", r"\.n", "n"), ("", "name", "[w]", ""), ("", "pair", r"g*[nY](?:\.n)*Q*nQ*=[nozsdp]", ""), ("", "pair", r"g<n", ""), ("C", "pair", r"[ph]Q*D[nsdpozY@+]", ""), ("", "pair", r"g@n|@nC", "")],
     "go": [],
     "python": [],
     "json": [],
 }
 _TAKEN["typescript"] = _TAKEN["javascript"] + [
-    ("", "post", r"<[nsdoazQ,|&KP.?:xhpAv+=w]*>", "nZguLwKe"), ("", "post", rf":(?:[nuw]K)?{_TY}", "ph"), ("", "post", rf":{_TY}", "naoz"), ("", "pre", r"@n(?:\.n)*[ph]?", ""),
-    ("p", "pair", rf"g*(?:R?[nZguLwKeoa])\??:{_TY}[,=]?", ""), ("a", "pair", rf"g*(?:R?[nZguLwKeoa])\??:{_TY}[,=]?", ""), ("p", "post", r"\?", "nZguLwKe"), ("p", "pre", "g", ""), ("", "post", "[!?]", "nao"),
+    ("", "post", r"<[nsdoazQ,|&KP.?:xhpAv+=w]*>", "nZguLwKe"), ("", "pre", r"<[nsdoazQ,|&KP.?:xhpA]*>", "nsphao"), ("", "pair", rf"[,v][naoz]!?:{_TY}[=,;]", ""), ("p", "pre", "g+", "nZuLwKeoaR"), ("a", "pre", "g+", "nZuLwKeoaR"), ("", "post", rf":K?(?:[nuw]K)?{_TY}", "ph"), ("", "post", rf":{_TY}", "naoz"), ("", "pre", r"@n(?:\.n)*[ph]?", ""),
+    ("p", "pair", rf"g*(?:R?[nZguLwKeoa])\??:{_TY}[,=]?", ""), ("a", "pair", rf"g*(?:R?[nZguLwKeoa])\??:{_TY}[,=]?", ""), ("p", "post", r"\?", "nZguLwKe"), ("", "post", "[!?]", "nao"),
 ]
 
 

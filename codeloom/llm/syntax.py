@@ -1,7 +1,7 @@
 """Source files that do not parse (problem 2).
 
-Files are lexed into rows, one per statement or bracket content, with a letter per token. Rows with a pair of adjacent letters that the grammar
-does not permit are found by an anti-join; then nesting and statement productions are validated, and windows over each file's rows check what a statement
+Files are lexed into rows, one per statement or bracket content, with a letter per token. Rows with a pair of adjacent letters that no production
+permits are found by an anti-join; prefix sums in windows over each file's brackets check nesting, the distinct rows are reduced to statement productions, and windows over each file's rows check what a statement
 must follow or be followed by. Python and JSON files found so are confirmed by an exact parser.
 """
 
@@ -34,6 +34,7 @@ def _lexer(comment: str, string: str, number: str, ops: str) -> re.Pattern:
 
 
 _JS_REGEX = r"(?:(?<=[=(,:\[!&|?{};\n>+])|(?<=[=(,:\[!&|?{};>+] ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|(?<=return) /(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+_REGEX_HERE = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 _TEMPLATE = r"`(?:\\[\s\S]|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`"
 _LEXERS = {
     "javascript": _lexer(_COMMENT + r"|(?<![\s\S])#![^\n]*", f"{_DQ}|{_SQ}|{_TEMPLATE}|{_JS_REGEX}", _NUMBER, r"\.\.\.|=>|\?\.(?!\d)|\+\+|--|\*\*=|>>>=|<<=|>>=|\?\?=|&&=|\|\|=|===|!==|[-+*/%&|^]=|==|!=|<=|>=|&&|\|\||\?\?|\*\*|<<|[-+*/%&|^~!<>=?:;,.@#]"),
@@ -62,17 +63,26 @@ class _Rows:
     """Collects the rows of one file; a frame is a bracket's content or a block's statements."""
 
     def __init__(self, lang: str):
-        self.lang, self.rows, self.frames = lang, [], 0
+        self.lang, self.rows, self.frames, self.brackets = lang, [], 0, []
+
+    def closed(self, tokens=()) -> list[tuple[int, int, str, str]] | None:
+        """The rows, with one more for all brackets of the file; of the tokens that are left where a bracket did not match, the brackets count too. None if one of those is illegal."""
+        for m in tokens:
+            if m.lastgroup == "x":
+                return None
+            if m.lastgroup == "b":
+                self.brackets.append(m["b"])
+        if self.brackets:
+            self.rows.append((-1, len(self.rows), "#", "".join(self.brackets)))
+        return self.rows
 
     def new(self) -> int:
         self.frames += 1
         return self.frames - 1
 
     def add(self, frame: int, ctx: str, kinds: str) -> None:
-        if len(kinds) > 64:
-            # Long lists of like elements are cut to two, which changes neither the pairs nor the productions.
-            kinds = _ALIKE.sub(r"\1\1", kinds)
-        self.rows.append((frame, len(self.rows), ctx, kinds))
+        # Lists of like elements are cut to two, which changes neither the pairs nor the productions.
+        self.rows.append((frame, len(self.rows), ctx, _ALIKE.sub(r"\1\1", kinds)))
 
 
 def _op(lang: str, t: str) -> str:
@@ -84,6 +94,8 @@ def _op(lang: str, t: str) -> str:
     return "E" if t[-1] == "=" and t not in ("==", "===", "!=", "!==", "<=", ">=") else "b"
 
 
+#: How a Java type's declaration begins.
+_DECLARED = re.compile(r"(?:@n(?:\.n)*[ph]?|[gw]|n\+g)*@?[CJw]n")
 _CONSTANT = re.compile(r"(?:n[ph]?[oz]?,)*n[ph]?[oz]?$")
 
 
@@ -95,13 +107,15 @@ def _brace(lang: str, cur: str, ctx: str, constants: bool = False) -> str:
     if lang == "java":
         if re.search(r"S[ph]$", cur):
             return "w"
+        if re.match(r"(?:@n(?:\.n)*[ph]?|g)*wn(?:<[^;{]*?>)?[ph](?:x.*)?$", cur):
+            return "R"
         if re.match(r"(?:[gw@.n]|[ph])*Jn", cur) and "=" not in cur:
             return "J"
         if ctx == "J" and constants and _CONSTANT.match(cur):
             return "C"
-        if re.search(r"(?:^|[gwA@)phn;])*[Cw]n(?:<[^;{]*)?[ph]?(?:x.*)?$", cur) and "C" in cur or re.match(r"[gw]*wn[ph]", cur) or re.search(r"N[nY].*[ph]$", cur) and "=" not in cur[cur.rfind("N"):]:
+        if re.search(r"(?:^|[gwA@)phn;])*[Cw]n(?:<[^;{]*)?[ph]?(?:x.*)?$", cur) and "C" in cur or re.search(r"N[nY].*[ph]$", cur) and "=" not in cur[cur.rfind("N"):]:
             return "C"
-        if last in "=aQ,(" or (ctx in "opa" and last in ("", ",")):
+        if last and last in "=aQ,(D" or (ctx in "opa" and last in ("", ",")):
             return "o"
         return "s"
     if lang == "go":
@@ -120,6 +134,8 @@ def _brace(lang: str, cur: str, ctx: str, constants: bool = False) -> str:
         return "o"
     if re.search(r"S[p]$", cur):
         return "w"
+    if re.search(r"f\*?[nZguLwKe]?(?:<[^<>]*>)?[ph]$", cur):
+        return "s"
     if re.search(r"C[nguweKLZ]?(?:<.*)?(?:x.*)?$", cur) and "C" in cur and not re.search(r"C[^x]*[oz]$", cur):
         return "C"
     if lang == "typescript" and re.search(r"j.[^=]*$", cur):
@@ -132,21 +148,38 @@ def _brace(lang: str, cur: str, ctx: str, constants: bool = False) -> str:
         return "s"
     if re.search(r"(?:^|[^=(,:?b+*&|<>!A])[ph]$", cur) and (re.search(r"f\*?.?(?:<.*>)?[ph]$|[iFWk][ph]$|FPp$", cur) or (ctx in "Co" and re.search(r"[nZguLwKefCxilFWOScDrtTkyvNPqmXVjJsda][?!]?(?:<.*>)?[ph]$", cur))):
         return "s"
-    if lang == "typescript" and re.search(r"[ph]:[^;{]*[nsoaQz>]$", cur) and ("f" in cur or ctx in "Co"):
+    if lang == "typescript" and re.search(r"[ph]:[^;{]*[nsoaQz>d]$", cur) and ("f" in cur or ctx in "Co"):
         return "s"
-    if lang == "typescript" and re.match(r"w+(?:n|s)$", cur):
+    if lang == "typescript" and re.match(r"X?w+(?:n(?:\.n)*|s)$", cur):
         return "s"
     if re.search(r"n:$", cur) and ctx in "sw" and cur.count(":") == 1 and "?" not in cur and not cur.startswith("v"):
         return "s"
     return "o"
 
 
-def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
-    """Rows of a file in a language with braces; None where a bracket does not match or a literal is not closed."""
-    out, keywords = _Rows(lang), grammar.KEYWORDS[lang]
-    top = {"java": "t", "go": "t", "json": "t"}.get(lang, "s")
-    # A frame: [bracket, context, letters so far, number, statement-like]
-    stack = [["", top, "", out.new(), True]]
+def _inserted(template: str) -> list[str]:
+    """The expressions that a template string inserts, of any depth."""
+    out, at = [], 0
+    while (at := template.find("${", at)) >= 0:
+        if (len(template[:at]) - len(template[:at].rstrip("\\"))) % 2:
+            at += 2
+            continue
+        depth, end = 1, at + 2
+        while end < len(template) and depth:
+            depth += {"{": 1, "}": -1}.get(template[end], 0)
+            end += 1
+        out.append(template[at + 2 : end - 1])
+        at = end
+    return out
+
+
+def lex_braces(lang: str, text: str, top: str | None = None, out: _Rows | None = None) -> list[tuple[int, int, str, str]] | None:
+    """Rows of a file in a language with braces, the last with its brackets; None where a character is illegal, as an unclosed literal's is. From a bracket that does not match on, only brackets are read."""
+    inside = out is not None
+    out, keywords = out or _Rows(lang), grammar.KEYWORDS[lang]
+    top = top or {"java": "t", "go": "t", "json": "t"}.get(lang, "s")
+    # A frame: [bracket, context, letters so far, number, statement-like, whether it has rows]
+    stack = [["", top, "", out.new(), top != "c", False]]
     nl = False
     constants = _CONSTANTS.get(lang)
     asi = lang in ("javascript", "typescript")
@@ -154,11 +187,18 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
     def end(f) -> None:
         if f[2]:
             out.add(f[3], f[1], f[2])
-            f[2] = ""
+            f[2], f[5] = "", True
 
-    for m in _LEXERS[lang].finditer(text):
+    tokens = _LEXERS[lang].finditer(text)
+    while m := next(tokens, None):
         kind = m.lastgroup
         f = stack[-1]
+        if asi and kind == "o" and m["o"] in ("/", "/=") and re.search(r"(?:^|l)[iFW]P?p$|[FW]p$", f[2]) and f[4]:
+            # Behind the head of a statement a slash begins a pattern.
+            if literal := _REGEX_HERE.match(text, m.start("o")):
+                f[2] += "s"
+                tokens = _LEXERS[lang].finditer(text, literal.end())
+                continue
         if kind == "nl":
             if lang == "go" and f[2] and f[2][-1] in _GO_ENDS:
                 if f[4]:
@@ -189,7 +229,11 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
             return None
         else:
             k = kind
-        if asi and nl and f[4] and f[2] and f[2][-1] in _ASI_ENDS and k in "nsdNPmXfCiFWOSrtTvVZguLwKejJ@cD{" and k:
+            if asi and k == "s" and t[0] == "`" and "${" in t:
+                for inner in _inserted(t):
+                    if inner.strip() and lex_braces(lang, inner, "c", out) is None or not inner.strip():
+                        return None
+        if asi and nl and f[4] and f[2] and f[2][-1] in _ASI_ENDS and k in "nsdNPmXfCiFWOSrtTvVZguLwKejJ@cDl{" and k:
             if f[1] == "C" or not re.search(r"(?:^|l)(?:ip|l)$|(?<!B)[FW]p$|^@.*$", f[2]):
                 if not (k == "{" and (re.search(r"[ph]$|[A]$", f[2]) or re.match(r"[XwgDj]*[Cj]", f[2]))):
                     end(f)
@@ -206,9 +250,10 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
                 elif k == "," and f[1] in ("j",):
                     end(f)
             continue
+        out.brackets.append(t)
         if t in "([{":
             if t == "{":
-                ctx = _brace(lang, f[2], f[1], lang == "java" and f[1] == "J" and not any(r[0] == f[3] for r in out.rows))
+                ctx = _brace(lang, f[2], f[1], lang == "java" and f[1] == "J" and not f[5])
             elif t == "(":
                 c = f[2]
                 ctx = "p"
@@ -225,11 +270,11 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
                     ctx = {"m": "m", "v": "v", "w": "W"}[c]
             else:
                 ctx = "a"
-            stack.append([t, ctx, "", out.new(), t == "{" and ctx in ("swCjJ" if lang == "java" else "swCj") or ctx in "mvW" and t == "("])
+            stack.append([t, ctx, "", out.new(), t == "{" and ctx in ("swCjJR" if lang == "java" else "swCj") or ctx in "mvW" and t == "(", False])
             continue
         if f[0] != _CLOSE[t] or len(stack) == 1:
-            return None
-        empty = not f[2] and not any(r[0] == f[3] for r in out.rows[-1:]) and (not out.rows or all(r[0] != f[3] for r in out.rows[-40:]))
+            return None if inside else out.closed(tokens)
+        empty = not f[2] and not f[5]
         if f[2]:
             body = f[2]
             if lang == "go" and not f[4] and body.endswith(";"):
@@ -250,23 +295,24 @@ def lex_braces(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
                 c = up[2]
                 if lang == "go":
                     pass
-                elif f[1] == "s" and not re.search(r"[A]B$|f\*?[^;]{0,60}B$", c) or (f[1] == "s" and asi and re.match(r"[XDwZ]*f\*?[^=(]*B$", c)) or (f[1] == "s" and up[1] == "C"):
+                elif f[1] == "s" and not re.search(r"[A]B$|f\*?[^;]*B$", c) or (f[1] == "s" and asi and re.match(r"[XDwZ]*f\*?[^=(]*B$", c)) or (f[1] == "s" and up[1] == "C"):
                     if not (c.endswith("OB") or (asi and "=" in c and up[1] != "C") or re.search(r"N[nY].*B$", c)):
                         end(up)
                 elif lang == "java" and up[1] == "J" and _CONSTANT.match(c):
                     pass
-                elif f[1] in "CjJ" and not re.search(r"[=(,:?r]", c[:-1]) and not re.search(r"N", c):
+                elif f[1] in "CjJR" and (lang == "java" and _DECLARED.match(c) or not re.search(r"[=(,:?r]", c[:-1]) and not re.search(r"N", c)):
                     end(up)
                 elif f[1] == "w" and re.match(r"(?:n:)?S[ph]", c):
                     end(up)
-    if len(stack) != 1:
+    if len(stack) == 1:
+        end(stack[0])
+    elif inside:
         return None
-    end(stack[0])
-    return out.rows
+    return out.rows if inside else out.closed()
 
 
 def lex_python(text: str) -> list[tuple[int, int, str, str]] | None:
-    """Rows of a Python file: logical lines by block, bracket contents; None where brackets, literals or indentation do not match."""
+    """Rows of a Python file: logical lines by block, bracket contents, and all brackets; None where a character is illegal, as an unclosed literal's is, or indentation does not match."""
     out, keywords = _Rows("python"), grammar.KEYWORDS["python"]
     blocks = [(0, out.new())]
     stack: list[list] = []
@@ -292,7 +338,8 @@ def lex_python(text: str) -> list[tuple[int, int, str, str]] | None:
         line = ""
         return True
 
-    for m in _LEXERS["python"].finditer(text):
+    tokens = _LEXERS["python"].finditer(text)
+    for m in tokens:
         kind = m.lastgroup
         if kind == "nl":
             if not stack:
@@ -311,11 +358,12 @@ def lex_python(text: str) -> list[tuple[int, int, str, str]] | None:
             indent = len(lead.expandtabs(8).replace("\f", "").replace("\r", "").replace("﻿", ""))
             fresh = False
         if kind == "b":
+            out.brackets.append(t)
             if t in "([{":
                 stack.append([t, "", out.new()])
             else:
                 if not stack or stack[-1][0] != _CLOSE[t]:
-                    return None
+                    return out.closed(tokens)
                 b, inner, frame = stack.pop()
                 if inner:
                     out.add(frame, {"(": "p", "[": "a", "{": "o"}[b], inner)
@@ -339,9 +387,9 @@ def lex_python(text: str) -> list[tuple[int, int, str, str]] | None:
         else:
             line += k
     del pos
-    if stack or not end_line() or opened:
+    if not stack and (not end_line() or opened):
         return None
-    return out.rows
+    return out.closed()
 
 
 def lex(lang: str, text: str) -> list[tuple[int, int, str, str]] | None:
@@ -370,7 +418,7 @@ def _lex_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for fid, lang, text in zip(pdf.file_id, pdf.lang, pdf.text):
             found = lex(lang, text)
             if found is None:
-                rows.append((fid, lang, 0, 0, "!", "nesting"))
+                rows.append((fid, lang, 0, 0, "!", "illegal"))
             elif not found and lang in ("json", "go"):
                 rows.append((fid, lang, 0, 0, "!", "empty"))
             elif found and lang == "go" and not found[0][3].startswith("K") and not found[0][2] != "t":
@@ -400,6 +448,28 @@ def claimed_sources(files: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("file_id"), lang.alias("lang"), F.coalesce("analysis.raw_text", F.lit("")).alias("text")).where(F.col("lang").isNotNull())
 
 
+#: Passes that take inner pairs of brackets away before what is left is looked at bracket by bracket.
+_BRACKET_PASSES = 8
+
+
+def nesting_errors(rows: DataFrame) -> DataFrame:
+    """(file_id, lang) of files whose brackets do not nest, from rows (file_id, lang, kinds) with all brackets of a file.
+
+    Pairs with nothing between are taken away in passes, all at once. Of what is left, prefix sums in a window over the file give each bracket its level; the sum may not fall
+    below zero and must end there, and of each level every closing bracket must follow its own opening one.
+    """
+    inner = lambda s: F.regexp_replace(s, r"\(\)|\[\]|\{\}", "")
+    left = rows.select("file_id", "lang", F.aggregate(F.sequence(F.lit(1), F.lit(_BRACKET_PASSES)), F.col("kinds"), lambda s, _: inner(s)).alias("k")).where("k <> ''").dropDuplicates(["file_id"])
+    each = left.select("file_id", "lang", F.posexplode(F.split("k", "")).alias("pos", "c")).where("c <> ''")
+    opens = F.col("c").isin("(", "[", "{")
+    w = Window.partitionBy("file_id").orderBy("pos")
+    at = each.withColumn("d", F.sum(F.when(opens, 1).otherwise(-1)).over(w)).withColumn("level", F.when(opens, F.col("d")).otherwise(F.col("d") + 1))
+    paired = at.withColumn("p", F.lag("c").over(Window.partitionBy("file_id", "level").orderBy("pos")))
+    wrong = F.when(opens, F.lit(False)).otherwise(~F.concat(F.coalesce("p", F.lit("")), "c").isin("()", "[]", "{}"))
+    per_file = paired.groupBy("file_id", "lang").agg(F.max(wrong).alias("wrong"), F.min("d").alias("least"), F.max_by("d", "pos").alias("end"))
+    return per_file.where("wrong or least < 0 or end <> 0").select("file_id", "lang")
+
+
 def _sequence_errors(rows: DataFrame) -> DataFrame:
     """(file_id, lang) of files where a statement does not follow, or is not followed by, what it needs."""
     statements = rows.where(F.col("ctx").isin("s", "w") & F.col("lang").isin("python", "javascript", "typescript", "java")).select("file_id", "lang", "frame", "no", F.substring("kinds", 1, 3).alias("k"), F.expr("right(kinds, 1)").alias("z"))
@@ -437,17 +507,18 @@ def unparsable_files(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     sources = claimed_sources(files)
     rows = materialize(sources.mapInPandas(_lex_batches, ROW_SCHEMA), "syntax-rows")
-    shapes = rows.where(F.col("ctx") != "!").select("lang", "ctx", "kinds").distinct()
+    shapes = rows.where(~F.col("ctx").isin("!", "#")).select("lang", "ctx", "kinds").distinct()
     # Adjacent pairs, each once per string.
     pairs = shapes.where(F.length("kinds") >= 2).select("lang", "ctx", "kinds", F.explode(F.array_distinct(F.regexp_extract_all("kinds", F.lit("(?=(..))."), F.lit(1)))).alias("pair"))
-    permitted = spark.createDataFrame(grammar.permissible_pairs(), "lang string, pair string")
-    impossible = pairs.join(F.broadcast(permitted), ["lang", "pair"], "left_anti").select("lang", "ctx", "kinds").distinct()
+    permitted = spark.createDataFrame(pd.DataFrame(grammar.permissible_pairs(), columns=["lang", "ctx", "pair"]))
+    impossible = pairs.join(F.broadcast(permitted), ["lang", "ctx", "pair"], "left_anti").select("lang", "ctx", "kinds").distinct()
     # The strings are few bytes but costly each, so they are spread by number, not by size.
     wrong = shapes.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(_production_batches, "lang string, ctx string, kinds string")
     bad = impossible.unionByName(wrong).distinct()
     by_shape = rows.join(bad, ["lang", "ctx", "kinds"], "left_semi").select("file_id", "lang")
-    nesting = rows.where(F.col("ctx") == "!").select("file_id", "lang")
-    suspects = by_shape.unionByName(nesting).unionByName(_sequence_errors(rows)).distinct()
+    illegal = rows.where(F.col("ctx") == "!").select("file_id", "lang")
+    nesting = nesting_errors(rows.where(F.col("ctx") == "#"))
+    suspects = by_shape.unionByName(illegal).unionByName(nesting).unionByName(_sequence_errors(rows)).distinct()
     # The exact parsers see only what was found.
     texts = sources.join(suspects.select("file_id").distinct(), "file_id", "left_semi")
     return texts.mapInPandas(_exact_batches, "file_id string, lang string").distinct()

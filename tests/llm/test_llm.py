@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import re
 import time
 
 import pytest
@@ -129,7 +130,111 @@ def test_valid_files_delivered_twice(spark):
 
 def test_long_source_takes_linear_time():
     rows = syntax.lex("javascript", "x = [" + "1, 2," * 50_000 + "3];")
-    assert all(grammar.holds("javascript", c, k) for _, _, c, k in rows)
+    assert all(grammar.holds("javascript", c, k) for _, _, c, k in rows if c != "#")
+
+
+def J(b):
+    return "package a;\nclass A {\n"+b+"\n}\n"
+
+
+def M(b):
+    return J("void m() {\n"+b+"\n}")
+
+
+def GO(b):
+    return "package a\n\nfunc f() {\n"+b+"\n}\n"
+
+
+# fmt: off
+GOOD_SNIPPETS = [("java","package a;\nsealed interface S permits A, B {}\n"),("java","package a;\npublic sealed abstract class S extends Q permits A, B { }\n"),("java","package a;\nrecord P(int x, int y) {\n P {\n if (x < 0) throw new E();\n }\n static int z() { return 1; }\n}\n"),
+("java",J("{ init(); }\nstatic { go(); }\nint x;")),("java",M("switch (o) { case Integer i when i > 0: f(); break; case String s: g(); default: h(); }")),("java",M("String r = switch (o) { case Integer i when i > 0 -> \"a\"; case null, default -> \"b\"; };")),
+("java",M("run(() -> {}); Runnable r = () -> {}; f(x -> {}, (a, b) -> {});")),("java","package a;\n@interface An { int v() default 1; String[] w() default {}; Class<?> c() default Object.class; }\n"),("java",M("do { x++; } while (x < 3); do {} while (f());")),
+("java",M("do x++; while (x < 3);")),("java",M("int[] a = {}, b = {1, 2,}; int[][] c = new int[][] {{1}, {2}}; a[0]++; --b[1]; x = y = 3; label: for (;;) { break label; }")),("java",M("var x = new ArrayList<Map<String, int[]>>() {{ add(null); }}; synchronized (this) { f(); } assert x != null : \"m\"; final var q = (Function<A, B> & C) y;")),
+("java",M("for (int i = 0, j = 1; i < j; i++, j--) {} for (final var e : es) f(e); while (true); if (a) b(); else if (c) d(); else { }")),("java",M("String s = \"\"\"\n  text \"quoted\"\n  \"\"\"; char c = '\\''; long l = 0xFFL; double d = 1e-3; x = (int) 'a' + (byte) 1; foo.<String>bar(); int.class.getName(); A::new; ").replace("A::new; ","g(A::new, int[]::new, this::m, super::m);")),
+("java",J("enum K { A, B(1) { int f() { return 1; } }, C; final int z; K() { this(0); } K(int z) { this.z = z; } }\ninterface I<T extends Comparable<T>> { default void f() { } static <U> U g(U u) { return u; } void h() throws E, F; int X = 1; }\nprivate record R<T>(T t, int... xs) implements I<T> { R(T t) { this(t, 1); } }\n@Override public String toString() { return \"\"; }\nabstract <T> T q();\nint a[] = {1}, b;\npublic A() { super(); }")),
+("java","package a;\nimport java.util.*;\nimport static a.b.C.*;\n\n/** doc */\n@A @B(\"x\") @C(a = 1, b = {1, 2}) public final class X<T, U extends V<T> & W> extends Y<T>.Z implements P, Q<U> { }\nenum E implements F { ; }\nclass G { }\n"),
+("java",M("int y = x instanceof P(int a, var b) && a > 0 ? 1 : 2; if (!(o instanceof String s)) return; throw new E(\"x\" + 1); ")),("java",M("try { f(); } catch (final A | B e) { } finally { g(); } try (var a = b(); c; D d = e()) { } ")),("java",M("int z = switch (k) { case A, B: yield 1; default: { yield 2; } }; x.y[1].z(2)[3] = -~+1; a = b ? c : d ? e : f; b >>>= 2; c ^= d | e & f;")),
+("go",GO("select {\ncase c <- 1:\ncase v := <-d:\n\tuse(v)\ncase x, ok = <-e:\ncase <-t.C:\ndefault:\n}")),("go",GO("var x interface{} = 1\nvar (\n\ta, b = 1, 2\n\tc int\n)\nconst k = iota\nx.(int)\nfor k, v := range m {\n}\nfor range 10 {\n}\nfor {\n}\nif x := f(); x > 0 {\n} else {\n}\nL:\n\tfor i := 0; ; i++ {\n\t\tcontinue L\n\t}\ngoto L")),
+("go","package a\n\ntype S[T any, U ~int | ~string] struct {\n\tsync.Mutex\n\t*B\n\tx, y int\n\tf func(int) (string, error)\n}\n\nfunc Map[T, U any](xs []T, f func(T) U) []U { return nil }\n\nfunc (s *S[T, U]) M() {}\n\ntype N interface {\n\t~int | ~float64\n\tfmt.Stringer\n\tM(x int) (y string)\n}\n\nvar _ I = (*S[int, string])(nil)\n\ntype F func(a, b int, c ...string) chan<- int\n\nfunc init() { ch := make(chan int, 1); go func(x int) { ch <- x }(1); defer close(ch); a[1:2], b = b[:], a[:3:4]; p := &T{1, 2}; m := map[string]struct{ A int }{\"x\": {1}}; _ = []func(){func() {}, nil}; *p = T{}; i++; x &^= 1 }\n"),
+("go",GO("switch {\ncase a > 1, b:\n\tf()\n\tfallthrough\ncase c:\n}\nswitch x := y.(type) {\ncase []int, *T, map[string]int, func():\n}\nswitch v := f(); v {\n}\nreturn func() int { return 1 }(), nil")),("go","package a\n\nimport \"fmt\"\nimport (\n\t. \"a\"\n\t_ \"b\"\n\tc \"d\"\n)\n\nfunc f(x int, _ ...any) (n int, err error) {\n\tfmt.Println(`raw\n`, 'x', '\\n', 1i, 0b1)\n\tif err = g(); err != nil {\n\t\treturn\n\t}\n\tx.y().z[0](1).w = T{a: 1, b: []int{1}}.c\n\treturn 1,\n\t\tnil\n}\n"),
+("javascript","const f = function* () {}; const g = async function () {}; const h = function n(a) { return a };\n"),("javascript","do x++; while (x < 3)\ndo { y() } while (y)\n"),("javascript","if (x) /re/.test(y)\nconst z = a / b / c, r = x.replace(/[/'\"]/g, '')\n"),("javascript","for (const [a, b] of Object.entries(o)) f(a)\nfor (let i = 0, n = a.length; i < n; i++);\nfor (k in o) if (o.has(k)) delete o[k]\nfor (;;) {}\nwhile (1) ;\n"),
+("javascript","class A { static #p = 1; static async *g() { yield* x } get [k]() { return 1 } set v(x) {} 'q'() {} 1() {} async m() {} static { f() } x; y = () => {}\n constructor() { super(); new.target } }\nexport default class extends B {}\n"),("javascript","import d, * as n from 'x'\nimport { default as q, r as s } from \"y\"\nimport 'z'\nexport { a as b, c }\nexport * from 'w'\nexport * as e from 'v'\nexport const x = 1, y = 2\nexport default () => {}\nimport j from './a.json' with { type: 'json' }\n"),
+("javascript","a ??= b; c ||= d; x **= 2; y = x?.[0]?.(1) ?? z; var { a: { b = 1 }, ...r } = o, [p, , q = 2, ...s] = t; (async () => { await f() })(); !function () {}(); void 0, typeof x === 'a' && y()\nlet t1 = `a${b ? `c${d}` : ''}e`, u = tag`x${1}`\n"),("javascript","switch (x) { case 'a': case 'b': { f(); break } default: return_() }\ntry { f() } catch ({ message }) { g() } finally { h() }\nouter: while (1) { continue outer }\nif (a) b(); else if (c) { d } else e()\nthrow new Error('x')\n"),
+("javascript","const o = { a, b: 1, 'c': 2, [d]: 3, e() {}, get f() { return 1 }, async *g() {}, ...h, 1: 2, async: 1, get: 2, set: 3, static: 4, async i() {}, if: 1, new: 2 }\no.class.if.new()\nvar async = 1, of = 2, get = 3, from = 4\n"),("javascript","const fn = (a, { b }, [c] = [], ...d) => ({ a, b })\nconst k = x => y => x + y, l = async x => await x\nfoo(function () { return 1 }, () => {}, async () => { })\nnew Foo\nnew (getClass())(1).bar\nx = a ? b : c ? d : e\nx = -1 - -y + +z, i++ + ++j\n"),
+("javascript","const f = () => {\n  return\n}\nlet a = 1\nlet b = a\n  .foo()\n  .bar\nlet c = a +\n  b\n;[1, 2].forEach(x => x)\n;(function () {})()\nfunction g() { return a\n}\nif (a)\n  b()\nelse\n  c()\n"),
+("typescript","namespace N.M { export const x = 1 }\ndeclare module 'm' { export function f(a: string): void; const y: number }\ndeclare global { interface Window { a: any } }\n"),("typescript","class C { constructor(public readonly a: string, private b?: number, protected c = 1) {} }\n"),("typescript","function f(x: unknown): asserts x is string {}\nfunction g(x: any): asserts x {}\nfunction h(this: Foo, x?: number): x is 1 { return true }\n"),("typescript","type T = typeof import('./x');\nlet q: import('./y').Z<number>;\ntype K = keyof typeof obj\n"),
+("typescript","type A<T> = T extends (infer U)[] ? U : never;\ntype M = { readonly [K in keyof T]?: T[K] };\ntype F = (a: number, ...b: string[]) => void;\ntype G = new () => Foo;\ntype L = `a${string}`;\ntype U = | 'a' | 'b';\ntype Tu = [a: string, b?: number, ...c: boolean[]];\n"),("typescript","abstract class A<T = any> extends B<T> implements I, J<T> { private static readonly x: Map<string, T[]> = new Map(); abstract m(): void; declare y: string; z!: number; get w(): string { return '' } async n<T>(x: T): Promise<T> { return x } [key: string]: any; override o() {} }\n"),
+("typescript","enum E { A, B = 'b', C = 1 << 2 }\nconst enum F { X }\nexport declare const v: number;\nlet x = <any>y; let z = y as unknown as string; const s = { a: 1 } satisfies R; let n = a!.b!;\n"),("typescript","interface I<T> extends A, B<T> { (x: number): string; new (x: string): I<T>; readonly a?: string; m?(): void; [k: string]: any; get x(): number; method<T>(a: T): T }\nexport type { Q } from './q'\nimport type R from 'r'\nimport { type S, T } from 's'\nexport default interface Z {}\n"),("typescript","function over(a: string): void;\nfunction over(a: number): void;\nfunction over(a: any) {}\n@Dec() class D { @In() a: string; @Out() b = new E<string>(); constructor(@Inject(X) private x: X) {} }\nexport abstract class G {}\nconst f = async <T,>(x: T): Promise<void> => {};\nlet g: () => void = () => {};\nlet u: string | undefined, w: A.B<C>[] = [];\n"),
+]
+BAD_SNIPPETS = [("javascript","function f() { return 1\n"),("javascript","let = 3 4\n"),("javascript","const x = ;\n"),("javascript","if x { y() }\n"),("javascript","foo(a b)\n"),("javascript","const s = `a${b +}`;\n"),("javascript","class { }\n"),("javascript","var a = [1 2]\n"),("javascript","for (let i = 0; i < 3) {}\n"),("javascript","x = {a: 1 b: 2}\n"),("javascript","def f(x):\n  return x\n"),
+("java",M("x + 1;")),("java",M("int = 3;")),("java",M("foo(")),("java",M("if x > 1 { }")),("java",M("return 1 2;")),("java",J("void m( { }")),("java","package a;\nclass { }\n"),("java",M("for (int i = 0; i < 3) {}")),("java",M("String s = \"abc;")),("java",M("int x = 1")),("java",M("case 1: f();")),
+("go",GO("x := ")),("go",GO("if x { ")),("go",GO("for i := 0; i < 3 { }")),("go",GO("var x int y")),("go",GO("return 1 2")),("go",GO("a b c")),
+("typescript","let x: = 1;\n"),("typescript","interface { a: string }\n"),("typescript","type X = ;\n"),("typescript","function f(x: ) {}\n"),("typescript","enum { A }\n"),("typescript","const a: string number = 1\n")]
+# fmt: on
+
+
+def syntax_fault(lang, text):
+    """What of a text is wrong by rows alone: brackets, pairs, productions."""
+    found = syntax.lex(lang, text)
+    if found is None:
+        return "illegal"
+    permitted = {(a, c, p) for a, c, p in grammar.permissible_pairs()}
+    for _, _, ctx, kinds in found:
+        if ctx == "#":
+            while (less := re.sub(r"\(\)|\[\]|\{\}", "", kinds)) != kinds:
+                kinds = less
+            if kinds:
+                return "nesting"
+        elif any((lang, ctx, kinds[i : i + 2]) not in permitted for i in range(len(kinds) - 1)) or not grammar.holds(lang, ctx, kinds):
+            return ctx, kinds
+    return None
+
+
+def test_snippets_of_each_language():
+    assert [(lang, t, syntax_fault(lang, t)) for lang, t in GOOD_SNIPPETS if syntax_fault(lang, t)] == []
+    assert [(lang, t) for lang, t in BAD_SNIPPETS if not syntax_fault(lang, t)] == []
+
+
+def test_pairs_follow_from_productions():
+    """Derived pairs leave most of all conceivable ones out, and permit all of what the productions hold."""
+    pairs = {(a, c, p) for a, c, p in grammar.permissible_pairs()}
+    per = {}
+    for a, c, _ in pairs:
+        per[a, c] = per.get((a, c), 0) + 1
+    assert per["python", "s"] < 1200 and per["go", "s"] < 1200 and per["javascript", "s"] < 2200 and per["json", "o"] < 20
+    assert ("python", "s", "nn") not in pairs or ("json", "o", "sd") not in pairs
+    assert ("go", "s", "n~") in pairs and ("go", "s", "~~") not in pairs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nesting_against_a_stack(spark, seed):
+    rng = random.Random(seed)
+
+    def fits(s):
+        stack = []
+        for c in s:
+            if c in "([{":
+                stack.append(c)
+            elif not stack or stack.pop() + c not in ("()", "[]", "{}"):
+                return False
+        return not stack
+
+    rows = [(f"f{i}", "go", "".join(rng.choice("()[]{}") for _ in range(rng.randrange(1, 7)))) for i in range(150)] + [("deep", "go", "([{" * 40 + "}])" * 40), ("cut", "go", "([{" * 40 + "}])" * 39), ("odd", "go", "(" * 30 + "]" + ")" * 29)]
+    df = spark.createDataFrame(rows + rows[:5], "file_id string, lang string, kinds string")
+    assert {r.file_id for r in syntax.nesting_errors(df).collect()} == {f for f, _, k in rows if not fits(k)}
+
+
+def test_long_enum_bodies_take_linear_time():
+    def took(n):
+        began = time.process_time()
+        assert syntax_rows(n)
+        return time.process_time() - began
+
+    def syntax_rows(n):
+        return syntax.lex("java", "package a;\nenum K {\n" + ",\n".join(f"A{i}(1) {{ int f() {{ return {i}; }} }}" for i in range(n)) + ";\n}\n")
+
+    took(500)
+    assert took(8000) < 16 * max(took(1000), 0.01)
 
 
 # ---- 3 ----
