@@ -157,6 +157,16 @@ def _brace(lang: str, cur: str, ctx: str, constants: bool = False) -> str:
     return "o"
 
 
+#: Constants of an enum, of which one stands for all before it.
+_CONSTANTS_SO_FAR = re.compile(r"^(?:n[ph]?[oz]?,)+")
+
+
+def _element(cur: str) -> str:
+    """The element of a list that is being read, with the comma before it; the others say nothing about it."""
+    tail = cur[max(0, cur.rfind(",")) :]
+    return cur if ">" in tail and "<" not in tail else tail
+
+
 def _inserted(template: str) -> list[str]:
     """The expressions that a template string inserts, of any depth."""
     out, at = [], 0
@@ -178,8 +188,8 @@ def lex_braces(lang: str, text: str, top: str | None = None, out: _Rows | None =
     inside = out is not None
     out, keywords = out or _Rows(lang), grammar.KEYWORDS[lang]
     top = top or {"java": "t", "go": "t", "json": "t"}.get(lang, "s")
-    # A frame: [bracket, context, letters so far, number, statement-like, whether it has rows]
-    stack = [["", top, "", out.new(), top != "c", False]]
+    # A frame: [bracket, context, letters so far, number, statement-like, whether it has rows, length at which lists are cut next]
+    stack = [["", top, "", out.new(), top != "c", False, 64]]
     nl = False
     constants = _CONSTANTS.get(lang)
     asi = lang in ("javascript", "typescript")
@@ -241,6 +251,9 @@ def lex_braces(lang: str, text: str, top: str | None = None, out: _Rows | None =
         if kind != "b":
             # A block that ended a statement.
             f[2] += k
+            if k == "," and len(f[2]) >= f[6]:
+                f[2] = _CONSTANTS_SO_FAR.sub("n,", f[2]) if lang == "java" and f[1] == "J" and not f[5] else _ALIKE.sub(r"\1\1", f[2])
+                f[6] = max(64, 2 * len(f[2]))
             if f[4]:
                 if k == ";":
                     if not (lang == "go" and re.match(r"(?:n:)?[iFS][^B]*;$", f[2])):
@@ -253,7 +266,7 @@ def lex_braces(lang: str, text: str, top: str | None = None, out: _Rows | None =
         out.brackets.append(t)
         if t in "([{":
             if t == "{":
-                ctx = _brace(lang, f[2], f[1], lang == "java" and f[1] == "J" and not f[5])
+                ctx = _brace(lang, f[2] if f[4] else _element(f[2]), f[1], lang == "java" and f[1] == "J" and not f[5])
             elif t == "(":
                 c = f[2]
                 ctx = "p"
@@ -270,7 +283,7 @@ def lex_braces(lang: str, text: str, top: str | None = None, out: _Rows | None =
                     ctx = {"m": "m", "v": "v", "w": "W"}[c]
             else:
                 ctx = "a"
-            stack.append([t, ctx, "", out.new(), t == "{" and ctx in ("swCjJR" if lang == "java" else "swCj") or ctx in "mvW" and t == "(", False])
+            stack.append([t, ctx, "", out.new(), t == "{" and ctx in ("swCjJR" if lang == "java" else "swCj") or ctx in "mvW" and t == "(", False, 64])
             continue
         if f[0] != _CLOSE[t] or len(stack) == 1:
             return None if inside else out.closed(tokens)
