@@ -36,3 +36,13 @@ def embed(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.
                 yield pd.DataFrame({key: part[key], "embedding": list(model(part[text].tolist()))})
 
     return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+
+def retry_delay(headers: dict[str, str], attempt: int, most: float = 60.0) -> float:
+    """FN23: seconds until another try: what the service asks for, in milliseconds or seconds, else twice as long each time from 2, at most ``most``."""
+    for name, unit in (("retry-after-ms", 0.001), ("retry-after", 1.0)):
+        try:
+            return min(most, max(0.0, float(headers[name]) * unit))
+        except (KeyError, ValueError):
+            continue
+    return min(most, 2.0 * 2 ** max(0, attempt - 1))

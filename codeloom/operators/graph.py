@@ -23,7 +23,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Tr
     Each round joins the frontier with the edges and drops what was seen; the rounds are bounded by the depth, and each
     frontier is materialised so that the plan does not grow. Cycles end by the visited set.
     """
-    step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("node")).distinct()
+    step = materialize(edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("node")).distinct(), "reach-edges")
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.config import DEFAULT
-from codeloom.functions.text import base_name, bounded, clean_npm_version, clean_pyproject_version
+from codeloom.functions.text import base_name, clean_npm_version, clean_pyproject_version
 
 
 def churn(changes: DataFrame, keys: list[str], time: str, days: int = DEFAULT.churn_days) -> DataFrame:
@@ -56,6 +56,7 @@ def requirements(manifests: DataFrame) -> DataFrame:
     """DEP1: (path, name, version, ecosystem, ord) of requirements.txt files (path, content)."""
     lines = manifests.where(base_name(F.col("path")) == "requirements.txt").select("path", F.posexplode(F.split("content", "\r?\n")).alias("ord", "line"))
     t = F.regexp_replace(F.split("line", ";")[0], r"^\s+|\s+$", "")
+    # Fixed value: the form of a requirement.
     pattern = r"^\s*([A-Za-z0-9_.\-]+)\s*(==|>=|<=|~=|>|<)?\s*([A-Za-z0-9_.\-]*)"
     rows = lines.withColumn("t", t).where("t <> '' and not startswith(t, '#') and not startswith(t, '-')")
     name = F.regexp_extract("t", pattern, 1)
@@ -76,6 +77,7 @@ PYPROJECT_KEYS = ("python", "name", "version", "description", "readme", "license
 def pyproject(manifests: DataFrame) -> DataFrame:
     """DEP3: every line ``key = "string"`` but for the ignored keys."""
     lines = manifests.where(base_name(F.col("path")) == "pyproject.toml").select("path", F.posexplode(F.split("content", "\r?\n")).alias("ord", "line"))
+    # Fixed value: the form of a dependency's line.
     pattern = r"""^\s*([A-Za-z0-9_.\-]+)\s*=\s*["']([^"']+)["']"""
     name = F.regexp_extract("line", pattern, 1)
     rows = lines.where((name != "") & ~F.lower(name).isin(*PYPROJECT_KEYS))
@@ -99,27 +101,6 @@ SEVERITY_POINTS = {"critical": 20.0, "high": 10.0, "medium": 4.0, "low": 1.0, "i
 SCORE_WEIGHTS = {"security": 0.25, "maintainability": 0.20, "architecture": 0.25, "dependencies": 0.15, "change_risk": 0.15}
 
 
-def health(findings: DataFrame, keys: list[str], dead: F.Column | None = None, violations=0, cycles=0, coupled=0, vulnerable=0, hotspot_points: F.Column | None = None) -> DataFrame:
-    """SC1-SC3: (keys, security, maintainability, architecture, dependencies, change_risk, overall, grade) from findings (keys, severity, category) and counts."""
-    points = F.coalesce(*[F.when(F.col("severity") == s, F.lit(p)) for s, p in SEVERITY_POINTS.items()], F.lit(1.0))
-    of = lambda c: F.sum(F.when(F.col("category") == c, points).otherwise(0.0))
-    agg = findings.groupBy(*keys).agg(of("security").alias("s"), of("quality").alias("q"))
-    lit = lambda x: x if isinstance(x, F.Column) else F.lit(float(x))
-    dead_points = F.least(F.lit(25.0), 1.5 * lit(dead if dead is not None else 0))
-    scored = agg.select(
-        *keys,
-        bounded(100 - F.col("s")).alias("security"),
-        bounded(bounded(100 - F.col("q")) - dead_points).alias("maintainability"),
-        bounded(100 - 6 * lit(violations) - 15 * lit(cycles) - 3 * lit(coupled)).alias("architecture"),
-        bounded(100 - F.least(F.lit(100.0), 12 * lit(vulnerable))).alias("dependencies"),
-        bounded(100 - lit(hotspot_points if hotspot_points is not None else 0)).alias("change_risk"),
-    )
-    overall = bounded(sum((F.col(k) * w for k, w in SCORE_WEIGHTS.items()), F.lit(0.0)))
-    out = scored.withColumn("overall", overall)
-    grade = F.when(F.col("overall") >= 90, "A").when(F.col("overall") >= 80, "B").when(F.col("overall") >= 70, "C").when(F.col("overall") >= 60, "D").otherwise("F")
-    return out.withColumn("grade", grade)
-
-
 def symbol_index(symbols: DataFrame, order: str) -> DataFrame:
     """AG19: the last path of each name."""
     return symbols.groupBy("name").agg(F.max_by("path", order).alias("path"), F.count(F.lit(1)).alias("n"))

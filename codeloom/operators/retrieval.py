@@ -13,12 +13,6 @@ from codeloom.functions.text import tokenize
 K1, B, PHRASE_BOOST = 1.2, 0.75, 2.0
 
 
-def postings(corpus: DataFrame, key: str) -> DataFrame:
-    """(key, token, tf, len) of (key, document): what a search joins with; built once and materialised by the caller."""
-    rows = corpus.select(key, tokenize(F.col("document")).alias("tokens")).select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-
-
 def _equals(term: str):
     return lambda x: x == F.lit(term)
 
@@ -98,8 +92,24 @@ def confidence(results: DataFrame, groups: list[str]) -> DataFrame:
     return agg.withColumn("confidence", c).withColumn("label", F.when(c >= 75, "high").when(c >= 50, "medium").otherwise("low"))
 
 
+def hybrid_search(corpus: DataFrame, vectors: DataFrame, key: str, query: str, query_vector: list[float], candidates: int = DEFAULT.candidates, top: int = DEFAULT.results) -> DataFrame:
+    """TK4: (key, rrf, methods, exact_match, rank, score) of the ``top`` documents by words and vectors together.
+
+    ``corpus`` (key, document) is what is searched, already filtered to a branch; vectors of other documents don't count. Each channel gives its ``candidates``, by their own order; the rest is
+    fusion of at most twice as many rows.
+    """
+    words = bm25(corpus, key, query, candidates).select(key, F.lit("lexical").alias("method"), "score", F.col("exact_match").alias("exact"))
+    near = dense_topk(vectors.join(corpus.select(key).distinct(), key, "left_semi"), key, query_vector, candidates).select(key, F.lit("semantic").alias("method"), "score", F.lit(False).alias("exact"))
+    weights = {"semantic": DEFAULT.semantic_weight, "lexical": DEFAULT.lexical_weight}
+    fused = fuse(words.unionByName(near).withColumn("__q", F.lit(0)), ["__q"], key, weights)
+    return fused.where(F.col("rank") <= top).drop("__q")
+
+
 def context_blocks(results: DataFrame, groups: list[str]) -> DataFrame:
-    """FN18: the text a question is answered from, in rank order."""
-    block = F.concat(F.lit("SOURCE ["), "citation", F.lit("] ("), F.coalesce("type", F.lit("text")), F.lit(" "), F.coalesce("name", F.lit("")), F.lit(")\n"), F.coalesce("text", F.lit("")))
-    rows = results.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
+    """FN18: the text a question is answered from: results (part 0) in order, then their neighbours (part 1), each with what it calls and is called by where ``relations`` says so."""
+    end = F.when((F.coalesce("end_line", F.lit(0)) != 0) & (F.col("end_line") != F.col("start_line")), F.concat(F.lit("-"), "end_line")).otherwise("")
+    span = F.when(F.coalesce("start_line", F.lit(0)) != 0, F.concat(F.lit(":"), "start_line", end)).otherwise("")
+    said = F.when(F.col("type").isin("function", "class") & F.col("relations").isNotNull(), F.concat(F.lit("\n"), "relations")).otherwise("")
+    block = F.concat(F.lit("SOURCE ["), F.coalesce("path", F.lit("unknown")), span, F.lit("] ("), F.coalesce("type", F.lit("code")), F.lit(" "), F.coalesce("name", F.lit("")), F.lit(")\n"), F.coalesce("text", F.lit("")), said)
+    rows = results.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("part", "nth", block.alias("b")))).alias("x"))
     return rows.select(*groups, F.array_join(F.transform("x", lambda r: r["b"]), "\n\n").alias("context"))

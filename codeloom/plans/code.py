@@ -23,6 +23,11 @@ def python_calls(spark, d):
     return code.call_edges(_symbols(spark, d))
 
 
+def python_local_calls(spark, d):
+    """Each Python function's callees in order."""
+    return code.local_calls(_symbols(spark, d))
+
+
 def dead_code(spark, d):
     """GR13: Python functions and classes that are no entry points and that nothing calls."""
     rows = _symbols(spark, d)
@@ -32,8 +37,8 @@ def dead_code(spark, d):
 
 
 def function_references(spark, d):
-    """Call sites of ``get``."""
-    return code.references(_symbols(spark, d), "get")
+    """Call sites of ``len``."""
+    return code.references(_symbols(spark, d), "len", table(spark, d, "files"))
 
 
 def import_edges(spark, d):
@@ -94,5 +99,5 @@ def compose_services(spark, d):
     return docker.services(table(spark, d, "files"))
 
 
-QUERIES = {f.__name__: f for f in (python_definitions, python_calls, dead_code, function_references, import_edges, js_import_edges, layer_violations, code_items, call_impact, symbol_relations, docker_instructions, docker_stages, docker_images, compose_services)}
+QUERIES = {f.__name__: f for f in (python_definitions, python_calls, python_local_calls, dead_code, function_references, import_edges, js_import_edges, layer_violations, code_items, call_impact, symbol_relations, docker_instructions, docker_stages, docker_images, compose_services)}
 SQL: dict[str, str] = {}

@@ -9,10 +9,11 @@ from codeloom.functions.embed import embed
 from codeloom.operators import chunking, history
 from codeloom.session import materialize
 from codeloom.sources.analysis import analysed
-from codeloom.sources.tables import BranchTable
+from codeloom.sources.tables import REPORTS, BranchTable
 
 FILES = "path string, content_hash string, raw_text string, branch_id string"
 CHUNKS = "chunk_id string, path string, type string, name string, start_line int, end_line int, text string, branch_id string"
+BUILT = "last_commit_sha string, mode string, indexed_at timestamp, branch_id string"
 VECTORS = "chunk_id string, path string, embedding array<float>, branch_id string"
 
 
@@ -24,6 +25,8 @@ class Workspace:
         self.files = BranchTable(spark, f"{root}/files", FILES)
         self.chunks = BranchTable(spark, f"{root}/chunks", CHUNKS)
         self.vectors = BranchTable(spark, f"{root}/vectors", VECTORS)
+        self.reports = BranchTable(spark, f"{root}/reports", REPORTS)
+        self.built = BranchTable(spark, f"{root}/built", BUILT)
 
     def _chunks(self, files: DataFrame) -> DataFrame:
         """CH2: code by functions, classes and blocks, whole; windows, with their limit, of files without functions and classes."""
@@ -33,11 +36,22 @@ class Workspace:
         made = embed(chunking.prefixed_text(chunks), "chunk_id", "document_text")
         return made.join(chunks.select("chunk_id", "path", "branch_id"), "chunk_id")
 
-    def build(self, scan: DataFrame, branch_id: str, previous_sha: str | None = None) -> dict:
-        """Stores a scan (path, content_hash, raw_text) of a branch; returns the numbers of the build.
+    def clear(self, branch_id: str) -> None:
+        """Drops all that is stored of a branch."""
+        for t in (self.files, self.chunks, self.vectors, self.reports, self.built):
+            t.clear(branch_id)
+
+    def build(self, scan: DataFrame, branch_id: str, previous_sha: str | None = None, sha: str | None = None) -> dict:
+        """Stores a scan (path, content_hash, raw_text) of a branch and then, as its stamp, the commit and the time; returns the numbers of the build.
 
         Only changed files are chunked and embedded again unless there is nothing sound to compare with.
         """
+        numbers = self._build(scan, branch_id, previous_sha)
+        stamp = self.spark.createDataFrame([(sha, numbers["mode"], branch_id)], "last_commit_sha string, mode string, branch_id string").withColumn("indexed_at", F.current_timestamp())
+        self.built.replace(stamp)
+        return numbers
+
+    def _build(self, scan: DataFrame, branch_id: str, previous_sha: str | None) -> dict:
         now = scan.select("path", "content_hash", "raw_text").withColumn("branch_id", F.lit(branch_id))
         old = self.files.read().where(F.col("branch_id") == branch_id)
         mode = history.build_mode(previous_sha, old.count(), old.where("content_hash is null").count())

@@ -4,17 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import history, issues
+from codeloom.operators import history
 from codeloom.session import table
 
-MANIFESTS = [
-    ("a/requirements.txt", "# base\nflask==2.0.1\nrequests>=2.25 ; python_version > '3'\n-r other.txt\nuvicorn[standard]==0.20\n\nnumpy"),
-    ("b/package.json", '{"dependencies": {"react": "^18.2.0", "left-pad": "*"}, "devDependencies": {"vite": "~4.1.0"}}'),
-    ("c/pyproject.toml", '[tool.poetry]\nname = "demo"\npython = "^3.11"\n[tool.poetry.dependencies]\nFlask = "^2.1"\nhttpx = ">=0.23"'),
-    ("d/package.json", "{broken"),
-]
-
-
 def _log(spark, d):
     return table(spark, d, "file_log").distinct()
 
@@ -47,10 +39,6 @@ def advisory_join(spark, d):
     return history.with_advisories(deps, adv).select("p_partkey", F.array_join("ids", ",").alias("ids"), F.size("ids").alias("n_ids"))
 
 
-def manifest_parse(spark, d):
-    return history.dependencies(spark.createDataFrame(MANIFESTS, "path string, content string"))
-
-
 def _versions(spark, d):
     docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     altered = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
@@ -69,16 +57,6 @@ def incremental_merge(spark, d):
     return history.merge_changes(old, new, history.snapshot_diff(old, new, "doc_id", "digest"), "doc_id").select("doc_id", "digest")
 
 
-def health_score(spark, d):
-    """Per branch, from the rule scan and the churn of its files."""
-    found = issues.findings(table(spark, d, "files")).select("branch_id", "severity", "category")
-    churned = history.churn(_log(spark, d), ["branch_id", "path"], "logged_at")
-    # The score sees the most changed paths of each branch.
-    churned = history.history_of(churned, ["branch_id"], [F.desc("churn"), F.asc("path")], 20).where("churn >= 5").groupBy("branch_id").agg(F.least(F.lit(40), F.sum(F.col("churn") - 4)).cast("double").alias("points"))
-    rows = found.join(churned, "branch_id", "left").withColumn("points", F.coalesce("points", F.lit(0.0)))
-    return history.health(rows, ["branch_id", "points"], hotspot_points=F.col("points")).drop("points")
-
-
 def branch_status(spark, d):
     b = table(spark, d, "branches").select(F.col("id").alias("branch_id"), "repository_id", "name", "is_default", "last_commit_sha", "indexed_at").distinct()
     r = table(spark, d, "repositories").select(F.col("id").alias("repository_id"), "status").distinct()
@@ -119,35 +97,20 @@ def report_findings(spark, d):
     return f.groupBy("branch_id", "f.severity", "f.category").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
-QUERIES = {f.__name__: f for f in (churn_hotspots, churn_events, file_history, dependency_dedupe, advisory_join, manifest_parse, snapshot_diff, incremental_merge, health_score, branch_status, latest_built, build_stats, collection_size, symbol_index, import_index, report_findings)}
+QUERIES = {f.__name__: f for f in (churn_hotspots, churn_events, file_history, dependency_dedupe, advisory_join, snapshot_diff, incremental_merge, branch_status, latest_built, build_stats, collection_size, symbol_index, import_index, report_findings)}
 _VERSIONS = """with o as (select doc_id, sha256(coalesce(text, '')) as a from documents where doc_id % 10 <> 0),
 n as (select doc_id, sha256(case when doc_id % 7 = 0 then coalesce(text, '') || '!' else coalesce(text, '') end) as b from documents where doc_id % 11 <> 0)
 """
 
 
-def _health_sql():
-    from codeloom.plans.scanning import _FOUND
-
-    pts = "case severity when 'critical' then 20.0 when 'high' then 10.0 when 'medium' then 4.0 when 'low' then 1.0 when 'info' then 0.25 else 1.0 end"
-    b = lambda x: f"greatest(0.0, least(100.0, round_even(({x})::double, 0)))"
-    return _FOUND + f""", l as (select distinct * from file_log), c as (select branch_id, path, count(*) as churn from l where logged_at >= (select max(logged_at) from l) - interval 90 day group by 1, 2),
-h as (select branch_id, least(40, sum(churn - 4))::double as points from (select *, row_number() over (partition by branch_id order by churn desc, path) as r from c) where r <= 20 and churn >= 5 group by 1),
-a as (select branch_id, sum(case when category = 'security' then {pts} else 0 end)::double as s, sum(case when category = 'quality' then {pts} else 0 end)::double as q from found group by 1),
-z as (select a.branch_id, {b('100 - s')} as security, {b('100 - q')} as maintainability, 100.0::double as architecture, 100.0::double as dependencies, {b('100 - coalesce(points, 0)')} as change_risk from a left join h using (branch_id)),
-y as (select *, {b('0.0 + security * 0.25::double + maintainability * 0.2::double + architecture * 0.25::double + dependencies * 0.15::double + change_risk * 0.15::double')} as overall from z)
-select *, case when overall >= 90 then 'A' when overall >= 80 then 'B' when overall >= 70 then 'C' when overall >= 60 then 'D' else 'F' end as grade from y"""
-
-
 SQL = {
     "churn_hotspots": "with l as (select distinct * from file_log), c as (select branch_id, path, count(*) as churn from l where logged_at >= (select max(logged_at) from l) - interval 90 day group by 1, 2) select * from c where exists (select 1 from files f where f.branch_id = c.branch_id and f.path = c.path) order by churn desc, branch_id, path limit 20",
     "churn_events": "select user_id, count(*) as churn from events where ts >= (select max(ts) from events) - interval 7 day group by 1",
     "file_history": "select branch_id, path, log_id, file_op, nth::int as nth from (select *, row_number() over (partition by branch_id, path order by logged_at desc, log_id desc) as nth from (select distinct * from file_log)) where nth <= 5",
     "dependency_dedupe": "select p_partkey, k, p_type from (select p_partkey, lower(p_brand) as k, p_type, row_number() over (partition by lower(p_brand), p_type order by p_partkey) as r from part) where r = 1",
     "advisory_join": "with a as (select p_brand, p_type, list_sort(list(distinct 'V-' || p_size)) as ids from part where p_size >= 48 group by 1, 2) select p_partkey, coalesce(array_to_string(ids, ','), '') as ids, coalesce(len(ids), 0)::int as n_ids from part left join a using (p_brand, p_type)",
-    "manifest_parse": "select * from (values ('flask', '2.0.1', 'PyPI', 'a/requirements.txt'), ('requests', '2.25', 'PyPI', 'a/requirements.txt'), ('uvicorn', null, 'PyPI', 'a/requirements.txt'), ('numpy', null, 'PyPI', 'a/requirements.txt'), ('react', '18.2.0', 'npm', 'b/package.json'), ('left-pad', null, 'npm', 'b/package.json'), ('vite', '4.1.0', 'npm', 'b/package.json'), ('httpx', '0.23', 'PyPI', 'c/pyproject.toml')) t(name, version, ecosystem, path)",
     "snapshot_diff": _VERSIONS + "select doc_id, case when a is null then 'added' when b is null then 'deleted' else 'changed' end as change from o full join n using (doc_id) where a is distinct from b",
     "incremental_merge": _VERSIONS + "select doc_id, b as digest from n",
-    "health_score": _health_sql(),
     "branch_status": "select b.id as branch_id, b.name, r.status, coalesce(b.is_default, false) as is_default, b.last_commit_sha is not null as indexed from (select distinct * from branches) b left join (select distinct id, status from repositories) r on r.id = b.repository_id",
     "latest_built": "select b.repository_id, b.id as branch_id from branches b where b.repository_id = (select id from repositories where status = 'built' and built_at is not null order by built_at desc, id limit 1) and indexed_at is not null order by indexed_at desc, id limit 1",
     "build_stats": "select branch_id, mode, status, count(*) as n_runs, sum(files_changed)::bigint as files_changed from (select distinct * from build_runs) group by 1, 2, 3",

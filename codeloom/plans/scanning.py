@@ -57,7 +57,9 @@ def issue_findings(spark, d):
 
 
 def issue_summary(spark, d):
-    return issues.summary(issue_findings(spark, d))
+    """Branches without findings have zeros."""
+    branches = table(spark, d, "files").select("branch_id").distinct()
+    return branches.join(issues.summary(issue_findings(spark, d)), "branch_id", "left").fillna(0)
 
 
 def issue_file_risk(spark, d):
@@ -132,7 +134,7 @@ _WINDOWS = """select branch_id, path, start_line::int as start_line, end_line::i
 SQL = {
     "scan_listing": f"select branch_id, path, regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]*)$', 1) as extension, size, {_lang_sql('path')} as language from (select distinct id, branch_id, path, size from files) where not list_has_any(string_split(path, '/')[1:len(string_split(path, '/')) - 1], [{_IGNORED}])",
     "issue_findings": _FOUND + "select * from found",
-    "issue_summary": _FOUND + "select branch_id, count(*) as total, " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in issues.SEVERITIES) + " from found group by 1",
+    "issue_summary": _FOUND + "select b.branch_id, count(id) as total, " + ", ".join(f"count(id) filter (severity = '{s}') as {s}" for s in issues.SEVERITIES) + " from (select distinct branch_id from files) b left join found using (branch_id) group by 1",
     "issue_file_risk": _FOUND + "select branch_id, path, sum(case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end)::bigint as risk_score, count(*) as n_findings from found group by 1, 2",
     "issue_top_files": _FOUND + "select branch_id, path, sum(case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end)::bigint as risk_score, count(*) as n_findings from found group by 1, 2 order by 3 desc, 2, 1 limit 10",
     "issues_by_file": _FOUND + "select branch_id, path, count(*)::int as n_findings, arg_min(id, ord) as first_id from found group by 1, 2",

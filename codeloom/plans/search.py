@@ -66,17 +66,10 @@ def confidence(spark, d):
     return retrieval.confidence(top, ["query_id"]).withColumn("best", F.round("best", 6))
 
 
-def ask_context(spark, d):
-    """The context of each query's answer, from the fused results' chunks."""
-    top = retrieval.evidence(retrieval.filter_results(_with_chunk(spark, d, _fused(spark, d)), ["query_id"]))
-    texts = table(spark, d, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"])
-    return retrieval.context_blocks(top.join(texts, "chunk_id", "left"), ["query_id"])
-
-
 def _edges(spark, d):
-    """Purchases of users in turn as edges, within eight classes of users."""
+    """Purchases of users in turn as edges."""
     e = ranked.lead_in_order(table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id", "user_id", "dst")
-    return e.where("event_type = 'purchase' and dst is not null and user_id <> dst and user_id % 8 = dst % 8").select(F.col("user_id").alias("src"), "dst").distinct()
+    return e.where("event_type = 'purchase' and dst is not null and user_id <> dst").select(F.col("user_id").alias("src"), "dst").distinct()
 
 
 def graph_edges(spark, d):
@@ -122,13 +115,7 @@ def graph_expand(spark, d):
     return graph.expand(e, ranked, 25)
 
 
-def dead_symbols(spark, d):
-    """Parts that no order of the first thousand takes."""
-    used = table(spark, d, "lineitem").where("l_orderkey <= 1000").select(F.col("l_partkey").alias("p_partkey"))
-    return graph.unreferenced(table(spark, d, "part").select("p_partkey", "p_name"), used, "p_partkey")
-
-
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_chunks, dense_topk, rrf_fusion, filter_results, evidence, confidence, ask_context, graph_edges, degree_coupling, scc_cycles, bfs_callers, change_impact_score, graph_neighbours, graph_expand, dead_symbols)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_chunks, dense_topk, rrf_fusion, filter_results, evidence, confidence, graph_edges, degree_coupling, scc_cycles, bfs_callers, change_impact_score, graph_neighbours, graph_expand)}
 
 _TOK = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z][A-Za-z0-9_]*|[0-9]+'), lambda x: lower(x))"
 
@@ -153,7 +140,7 @@ c as (select chunk_id, min(path) as path, min(name) as name, min(start_line) as
 d as (select g.*, c.path, c.name, c.start_line, c.end_line, row_number() over (partition by query_id, c.path, c.name order by rank) as fst from g join c using (chunk_id)),
 t as (select *, row_number() over (partition by query_id order by rank) as position from d where fst = 1)
 """
-_E = "e0 as (select user_id, event_type, lead(user_id) over (order by event_id) as dst from events), e as (select distinct user_id as src, dst from e0 where event_type = 'purchase' and dst is not null and user_id <> dst and user_id % 8 = dst % 8)"
+_E = "e0 as (select user_id, event_type, lead(user_id) over (order by event_id) as dst from events), e as (select distinct user_id as src, dst from e0 where event_type = 'purchase' and dst is not null and user_id <> dst)"
 _BFS = f"with recursive {_E}, seed as (select min(dst) as node from e), b as (select node, 0 as depth from seed union select e.src, b.depth + 1 from b join e on e.dst = b.node where b.depth < 4), m as (select node, min(depth)::int as depth from b where node not in (select node from seed) group by 1)"
 SQL = {
     "bm25_topk": _bm25_sql("select doc_id, coalesce(text, '') as document from documents", "doc_id"),
@@ -168,10 +155,8 @@ SQL = {
  select *, case when confidence >= 75 then 'high' when confidence >= 50 then 'medium' else 'low' end as label from z""",
     "graph_edges": f"with {_E} select * from e",
     "degree_coupling": f"with {_E}, x as (select src as node, 0 as i, 1 as o from e union all select dst, 1, 0 from e) select node, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out, (sum(i) + sum(o))::bigint as coupling from x group by 1 having sum(i) + sum(o) >= 3",
-    "scc_cycles": f"with recursive {_E}, r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst), c as (select a.src as node, a.dst as peer from r a join r b on a.src = b.dst and a.dst = b.src) select node, min(least(node, peer)) as component from c group by 1",
     "bfs_callers": _BFS + " select node, depth from m",
     "change_impact_score": _BFS + ", n as (select count(*) filter (depth = 1) as a, count(*) filter (depth > 1) as b from m) select a as direct, b as transitive, least(100, 10 + 10 * a + 5 * b) as score, case when least(100, 10 + 10 * a + 5 * b) >= 70 then 'high' when least(100, 10 + 10 * a + 5 * b) >= 35 then 'medium' else 'low' end as risk from n",
     "graph_neighbours": f"with {_E}, s as (select min(dst) as node from e) select distinct node from (select dst as node from e join s on src = s.node union all select src from e join s on dst = s.node)",
     "graph_expand": f"with {_E}, x as (select src as node from e union all select dst from e), t as (select node, -count(*) as rank from x group by 1 order by 2, 1 limit 10), c as (select dst as node, rank, 0 as side, dst as k from e join t on t.node = src union all select src, rank, 1, src from e join t on t.node = dst), m as (select node, min(row(rank, side, k)) as o, arg_min(rank, row(rank, side, k)) as fr, arg_min(side, row(rank, side, k)) as sd from c where node not in (select node from t) group by 1) select node, fr::bigint as from_rank, sd::int as side from m order by o limit 25",
-    "dead_symbols": "select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_orderkey <= 1000)",
 }

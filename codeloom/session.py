@@ -55,9 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or our own where it is unset and everything runs in this process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="codeloom-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

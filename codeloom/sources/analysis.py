@@ -42,3 +42,9 @@ def analysed(files: DataFrame) -> DataFrame:
     """(branch_id, path, analysis) of files (branch_id, path, raw_text); without a text there is no analysis."""
     rows = files.where(F.col("raw_text").isNotNull()).select("branch_id", "path", language(F.col("path")).alias("language"), "raw_text")
     return rows.mapInPandas(_batches, ANALYSED).select("branch_id", "path", F.struct("functions", "classes", "class_locations", "blocks", "raw_text").alias("analysis"))
+
+
+def empty_analysis() -> F.Column:
+    """SRC6: the analysis of a file that no parser reads."""
+    kind = "struct<functions: array<struct<name: string, code: string, start_line: int, end_line: int>>, classes: array<string>, imports: array<string>, graph: map<string, array<string>>, raw_text: string>"
+    return F.from_json(F.lit('{"functions": [], "classes": [], "imports": [], "graph": {}, "raw_text": ""}'), kind)

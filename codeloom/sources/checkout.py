@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.config import DEFAULT
-from codeloom.functions.text import BINARY_SUFFIXES, TEXT_SUFFIXES, extension, in_ignored_dir, language
+from codeloom.functions.text import BINARY_SUFFIXES, TEXT_SUFFIXES, extension, in_ignored_dir, language, normal_path
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -20,7 +20,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 def contents(spark: SparkSession, root: str, max_bytes: int = DEFAULT.max_file_bytes) -> DataFrame:
     """SRC2, SRC12: (path, language, content_hash, raw_text) of the files that are indexed.
 
-    A file is indexed if it is not binary by its extension, within the size (which the reader filters by), and of a known language, or text by extension, or without extension and NUL bytes.
+    Invalid bytes become the replacement character. A file is indexed if it is not binary by its extension, within the size (which the reader filters by), and of a known language, or text by extension, or without extension and NUL bytes.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     base = "file:" + root.rstrip("/") if "://" not in root and not root.startswith("file:") else root.rstrip("/")
@@ -29,4 +29,9 @@ def contents(spark: SparkSession, root: str, max_bytes: int = DEFAULT.max_file_b
     lang = language(F.col("path"))
     text = lang.isNotNull() | ext.isin(*TEXT_SUFFIXES) | ((ext == "") & ~F.contains(F.col("content"), F.unhex(F.lit("00"))))
     kept = rows.where(~ext.isin(*BINARY_SUFFIXES) & text)
-    return kept.select("path", lang.alias("language"), F.sha2("content", 256).alias("content_hash"), F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "").alias("raw_text"))
+    return kept.select("path", lang.alias("language"), F.sha2("content", 256).alias("content_hash"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "").alias("raw_text"))
+
+
+def file_content(files: DataFrame, branch_id: str, path: str) -> DataFrame:
+    """SRC13: (path, raw_text) of a file of a branch; paths outside the stored tree name nothing."""
+    return files.where((F.col("branch_id") == branch_id) & (normal_path(F.col("path")) == path.replace("\\", "/"))).select("path", "raw_text")

@@ -40,3 +40,41 @@ class BranchTable:
     def size(self, branch_id: str) -> int:
         """SNK8."""
         return self.read().where(F.col("branch_id") == branch_id).count()
+
+    def clear(self, branch_id: str) -> None:
+        """SNK4: drops a branch's partition; a branch that is not there is no error."""
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(branch_id)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/branch_id={name}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+REPORTS = "issues_report string, dependency_report string, hotspots_report string, health_score_report string, updated_at timestamp, branch_id string"
+
+
+def upsert_report(reports: BranchTable, branch_id: str | None, **fields: str) -> None:
+    """SNK6: sets some of a branch's reports and the time of it; the others stay. Without a branch nothing is written."""
+    if not branch_id:
+        return
+    known = [f.name for f in reports.spark.createDataFrame([], REPORTS).schema][:4]
+    if unknown := set(fields) - set(known):
+        raise ValueError(f"no reports: {sorted(unknown)}")
+    old = reports.read().where(F.col("branch_id") == branch_id)
+    one = reports.spark.createDataFrame([(branch_id,)], "branch_id string").join(old, "branch_id", "left")
+    for k, v in fields.items():
+        one = one.withColumn(k, F.lit(v))
+    reports.replace(materialize(one.withColumn("updated_at", F.current_timestamp()).select(*known, "updated_at", "branch_id"), "report"))
+
+
+def resolve_branch(branches: DataFrame, repository_id: str, name: str | None = None) -> DataFrame:
+    """SNK10: (branch_id) of a repository's branch by name, or without one of its default branch, else of the one indexed last. A name that is not there gives no row and is not added."""
+    mine = branches.where(F.col("repository_id") == repository_id)
+    if name is not None:
+        mine = mine.where(F.col("name") == name)
+    return mine.orderBy(F.desc(F.coalesce("is_default", F.lit(False))), F.desc_nulls_last("indexed_at"), "id").limit(1).select(F.col("id").alias("branch_id"))
+
+
+def require_index(rows: DataFrame) -> DataFrame:
+    """CP4: the rows, or an error where nothing is indexed."""
+    if rows.isEmpty():
+        raise LookupError("nothing is indexed")
+    return rows

@@ -52,6 +52,20 @@ def run(stream: DataFrame, handle, checkpoint: str):
     return query
 
 
+def rebuild(workspace, checkout):
+    """ST3, ST6: a handler for :func:`run` that brings the newest state of every pushed branch into a workspace.
+
+    ``checkout(repo, branch, sha)`` gives the scan (path, content_hash, raw_text) and the commit built before, or None. A batch names few branches, one row each; a repeated batch finds nothing changed.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        for r in latest(batch, ["repo", "branch"], "sha", ["ts"]).collect():
+            scan, before = checkout(r["repo"], r["branch"], r["sha"])
+            workspace.build(scan, f"{r['repo']}@{r['branch']}", before, r["sha"])
+
+    return handle
+
+
 def push_stream(spark, d):
     """The newest purchase of each user, from a stream over the events."""
     static = table(spark, d, "events")

@@ -15,7 +15,10 @@ def test_same_rows(name, spark, sf, duck):
 
 def test_queries_without_sql_run(spark, sf):
     for name in sorted(set(registry.QUERIES) - set(registry.SQL)):
-        registry.QUERIES[name](spark, sf).count()
+        rows = registry.QUERIES[name](spark, sf)
+        # These read files of kinds that the tables do not have; what they do is tested on fixtures.
+        assert rows.count() > 0 or name in ("js_import_edges", "layer_violations", "symbol_relations", "compose_services", "manifest_parse", "import_edges", "call_impact", "docker_stages", "function_references"), name
+        assert len(set(rows.columns)) == len(rows.columns)
 
 
 def test_entry(spark):
