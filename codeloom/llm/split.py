@@ -219,6 +219,18 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunk_limits"))
 
 
+def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item that was cut: its length and whether its pieces keep to the limit, cover it without a gap, share the overlap, and hold its text."""
+    limits = _limits(table(spark, sf_dir, "chunk_limits"))
+    most = F.coalesce(*[F.when(F.col("item_kind") == k, F.lit(m)) for k, (m, _) in limits.items()], F.lit(0))
+    least = F.coalesce(*[F.when(F.col("item_kind") == k, F.lit(min(o, m - 1))) for k, (m, o) in limits.items()], F.lit(0))
+    fine = (F.length("text") == F.col("end_char") - F.col("start_char")) & (F.length("text") <= most) & ((F.col("piece_no") == 1) & (F.col("start_char") == 0) | (F.col("overlap_chars") >= least)) & (F.col("start_line") <= F.col("end_line"))
+    per = p1_pieces(spark, sf_dir).groupBy("file_id", "item_kind", "item_no").agg(
+        F.max("end_char").alias("n_chars"), F.min(fine).alias("fine"), F.count(F.lit(1)).alias("n"), F.first("n_pieces").alias("n_pieces"), F.sum(F.col("end_char") - F.col("start_char") - F.col("overlap_chars")).alias("fresh")
+    )
+    return per.select("file_id", "item_kind", "item_no", "n_chars", (F.col("fine") & (F.col("n") == F.col("n_pieces")) & (F.col("fresh") == F.col("n_chars"))).alias("whole"))
+
+
 _ITEMS = """
 with f as (select distinct id, analysis from files where analysis is not null),
 items as (
@@ -231,9 +243,12 @@ items as (
   select id, 'raw_text', 1, analysis.raw_text from f
   where coalesce(len(analysis.functions), 0) = 0 and coalesce(len(analysis.classes), 0) = 0)
 """
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_check": p1_check}
 SQL = {
     "p1_found": _ITEMS
     + """select distinct i.file_id, i.item_kind, cast(i.item_no as int) as item_no
     from items i join chunk_limits l on l.item_kind = i.item_kind where length(i.code) > l.max_chars""",
+    "p1_check": _ITEMS
+    + """select distinct i.file_id, i.item_kind, cast(i.item_no as int) as item_no, cast(length(i.code) as int) as n_chars, true as whole
+    from items i join chunk_limits l on l.item_kind = i.item_kind where length(i.code) > l.max_chars""",
 }

@@ -32,7 +32,13 @@ def test_same_rows_as_sql(name, spark, sf, duck):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(name, spark, sf):
-    assert queries.QUERIES[name](spark, sf).count() > 0
+    df = queries.QUERIES[name](spark, sf)
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    if "rate" in df.columns:
+        assert all(0 <= r.rate <= 1 for r in rows)
+    if name.endswith("_found"):
+        assert len({tuple(r) for r in rows}) == len(rows) and all(v is not None for r in rows for v in r)
 
 
 # ---- 1 ----
