@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.config import DEFAULT
 from codeloom.functions.text import tokenize
+from codeloom.session import materialize
 
 K1, B, PHRASE_BOOST = 1.2, 0.75, 2.0
 
@@ -30,6 +31,8 @@ def bm25(corpus: DataFrame, key: str, query: str, top: int | None = DEFAULT.cand
     docs = corpus.select(key, F.coalesce("document", F.lit("")).alias("document"))
     tf = [F.size(F.filter("tokens", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = docs.select(key, "document", tokenize(F.col("document")).alias("tokens")).select(key, F.size("tokens").alias("len"), F.lower("document").contains(query.lower().strip()).alias("exact_match"), *tf)
+    # Texts are tokenised once; what is kept is a few numbers a document.
+    counted = materialize(counted, "bm25-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     # One row of totals comes to the driver and goes back as literals, so that the documents are joined with nothing.
     total = stats.first()

@@ -217,6 +217,14 @@ def test_checkout(spark, tmp_path):
     assert {r.path: r.raw_text for r in checkout.contents(spark, str(tmp_path)).collect()} == {"a.py": "x = 1", "Makefile": "all:"}
 
 
+def test_intermediates_can_be_released(spark):
+    from codeloom.session import materialize, release
+
+    release(spark)
+    df = materialize(spark.range(5).toDF("n"), "probe")
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
+
+
 def test_branch_table(spark, tmp_path):
     t = BranchTable(spark, str(tmp_path / "t"), "path string, text string, branch_id string")
     df = lambda rows: spark.createDataFrame(rows, "branch_id string, path string, text string")
