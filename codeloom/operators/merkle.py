@@ -24,6 +24,8 @@ from codeloom.session import materialize, shared_dir
 DIGITS = 15
 #: Rows a leaf should hold; the depth follows from it and the number of rows.
 LEAF_ROWS = 16
+#: Levels that the descent takes at once: 256 children of a node that differs are compared.
+STEP = 2
 #: Hex digits by which files of a snapshot are skipped: at most 256 prefixes are asked for.
 PREFIX = 2
 #: Bytes up to which a list of nodes is sent to every executor.
@@ -64,19 +66,21 @@ def _few(nodes: DataFrame) -> DataFrame:
 def changed_leaves(now: DataFrame, saved: DataFrame, depth: int) -> DataFrame:
     """(node) of the leaves that differ between two stored trees, found by descending only below nodes that differ.
 
-    Nodes on one side only differ. Each level's open nodes are written, so a level's plan reads that level's folder and nothing above.
+    Nodes on one side only differ. The descent takes STEP levels at once. Each level's open nodes are written, so a level's plan reads that level's folder and nothing above.
     Equal trees give no rows after one comparison of the roots.
     """
     open_nodes: DataFrame | None = None
-    for level in range(depth + 1):
+    above = 0
+    for level in sorted({0, *range(depth, 0, -STEP)}):
         side = lambda t, c: t.where(F.col("level") == level).select("node", F.col("digest").alias(c))  # noqa: B023, E731
         a, b = side(now, "a"), side(saved, "b")
         if open_nodes is not None:
             up = _few(open_nodes.select(F.col("node").alias("up")))
-            a, b = (x.join(up, F.expr(f"substring(node, 1, {level - 1})") == F.col("up"), "left_semi") for x in (a, b))
+            a, b = (x.join(up, F.expr(f"substring(node, 1, {above})") == F.col("up"), "left_semi") for x in (a, b))
         open_nodes = materialize(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("node"), "open-nodes")
         if open_nodes.isEmpty():
             break
+        above = level
     return open_nodes
 
 

@@ -25,7 +25,7 @@ def python_calls(spark, d):
 
 def python_local_calls(spark, d):
     """Each Python function's callees in order."""
-    return code.local_calls(_symbols(spark, d))
+    return code.local_calls(materialize(code.symbols(table(spark, d, "files"), local=True), "symbols"))
 
 
 def dead_code(spark, d):

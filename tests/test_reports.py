@@ -97,7 +97,7 @@ def test_hybrid_search_and_context(spark):
 def test_inner_functions_own_their_calls(spark):
     text = "def f():\n    g(1)(x.y())\n    def h():\n        k(); k()\n    return h\nm(); m()\n"
     df = spark.createDataFrame([("b", "a.py", (text,))], "branch_id string, path string, analysis struct<raw_text: string>")
-    assert {r["name"]: r.calls for r in code.local_calls(code.symbols(df)).collect()} == {"f": ["g", "g(1)", "x.y"], "h": ["k", "k"]}
+    assert {r["name"]: r.calls for r in code.local_calls(code.symbols(df, local=True)).collect()} == {"f": ["g", "g(1)", "x.y"], "h": ["k", "k"]}
     files = spark.createDataFrame([("b", "a.py", ("x = 1\nm(); m()\n",))], "branch_id string, path string, analysis struct<raw_text: string>")
     assert [(r.line, r.code) for r in code.references(code.symbols(files), "m", files).collect()] == [(2, "m(); m()"), (2, "m(); m()")]
 
