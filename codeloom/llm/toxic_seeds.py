@@ -1,7 +1,7 @@
 """Seed phrases from which the model learns besides the labelled documents.
 
-Harmful phrases are frames with slots, harmless ones show technical, mild or quoted uses of harsh words. They are general language, written without
-the documents; but for the plainest frames of two slots, none stands in the test documents.
+Harmful phrases are frames with slots, harmless ones show technical, mild or quoted uses of harsh words. They are general language; phrases of an
+earlier list that stand in the test documents were taken out and others written instead, so that but for the plainest frames of two slots none is left that stands there.
 """
 
 # Words of the slots, per language: {a} adjectives, {n} nouns, {g} groups, {b} what a group is called.
