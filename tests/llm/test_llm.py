@@ -440,6 +440,23 @@ def test_terms(spark):
     assert distinctive.distinctive_terms(distinctive.term_counts(df.limit(0), "k", ["text"]), "k").count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [distinctive.BROADCAST_BYTES, 0])
+def test_cases_by_counts_alone(spark, tmp_path, monkeypatch, broadcast_bytes):
+    """Nothing is scored for p7_found, and no join that only scores need takes a case away."""
+    import duckdb
+
+    rows = [(f"c{i}", "src/a.py", None, "fiveof " * 3 * (i < 5) + "sixof sixchunks " * 3 + "twice twice" * (i == 0)) for i in range(6)]
+    rows += [rows[0], (None, "lib/nokey.py", "camelCaseName", "unkeyed " * 4), ("empty", None, None, "")]
+    spark.createDataFrame(rows, "chunk_id string, path string, name string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    monkeypatch.setattr(distinctive, "BROADCAST_BYTES", broadcast_bytes)
+    monkeypatch.setattr(distinctive, "distinctive_terms", lambda *a, **k: pytest.fail("scored"))
+    con = duckdb.connect()
+    con.sql(f"create view chunks as select * from read_parquet('{tmp_path}/chunks.parquet/part-*.parquet')")
+    got = distinctive.p7_found(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {*((f"c{i}", "fiveof") for i in range(5)), (None, "unkeyed")}
+    assert rows_of(got) == rows_of_sql(con, distinctive.SQL["p7_found"])
+
+
 # ---- 8, 9 ----
 
 
